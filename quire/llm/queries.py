@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import arrow_tokens, bpe, mixing, sharding, toxicity, url_filter
+from quire.llm import arrow_tokens, bpe, exact_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -15,6 +15,10 @@ def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
+
+
 def op4_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -88,5 +92,11 @@ d AS (SELECT c.*, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTIT
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM d WHERE nth = 1"""
 
 
+DEDUP_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
+    return {"op2_lsm_exact_dedup": DEDUP_SQL, "op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
