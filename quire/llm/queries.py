@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import arrow_tokens, bpe, exact_dedup, mixing, sharding, toxicity, url_filter
+from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -27,6 +27,10 @@ def op5_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's file; every machine has the package."""
     import public_tokenizers
@@ -98,5 +102,18 @@ g AS (SELECT text, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text"""
 
 
+#: All pairs of a label, and the smallest vec_id that each row reaches.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lsm_exact_dedup": DEDUP_SQL, "op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
+    return {"op6_cross_polytope_dedup": EMBEDDING_SQL, "op2_lsm_exact_dedup": DEDUP_SQL, "op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
