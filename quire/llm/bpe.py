@@ -290,21 +290,26 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encoded(docs: DataFrame, path: str, digests: bool = True, text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and either ids and decoded text, or their SHA-256 (of the decimal ids joined by one space; of the text in UTF-8)."""
+def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and of these the outputs: ids, decoded (the decoded text), ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the text in UTF-8)."""
+    kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def column(name: str, got: list[tuple[bytes, str]]) -> pa.Array:
+        if name == "ids":
+            ids = [np.array(a.split(), np.int32) for a, _ in got]
+            return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *ids]))
+        if name == "decoded":
+            return pa.array([b for _, b in got], pa.string())
+        return pa.array([hashlib.sha256(a if name == "ids_sha256" else b.encode()).hexdigest() for a, b in got], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            out = []
-            for ids, text in own.blocks(batch.column(1).to_pylist()):
-                n = ids.count(b" ") + 1 if ids else 0
-                out.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (n, [int(x) for x in ids.split()], text))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])], names=["doc_id", "n_tokens", "a", "b"])
-
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    kinds = "a string, b string" if digests else "a array<int>, b string"
-    got = docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, f"doc_id bigint, n_tokens bigint, {kinds}")
-    return got.withColumnsRenamed({"a": names[0], "b": names[1]})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                got = list(own.blocks(batch.column(1).to_pylist()))
+                n = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), n, *(column(c, got) for c in outputs)], names=["doc_id", "n_tokens", *outputs])
+
+    schema = ", ".join(["doc_id bigint", "n_tokens bigint", *(f"{c} {kinds[c]}" for c in outputs)])
+    return docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, mixing, sharding, toxicity, url_filter
+from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, minhash_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -38,6 +38,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"), width=2).drop("th")
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -115,5 +119,25 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)"""
 
 
+#: Equal sets are one class; classes that share a shingle rare enough to be a prefix are compared on their whole sets.
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+      ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM w),
+c AS (SELECT md5(array_to_string(sh, chr(10))) AS c, any_value(sh) AS sh, min(doc_id) AS first, len(any_value(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY 1),
+x AS (SELECT c, n, unnest(sh) AS t FROM c),
+f AS (SELECT t, count(*) AS df FROM x GROUP BY t),
+o AS (SELECT c, n, t, row_number() OVER (PARTITION BY c ORDER BY df, t) AS nth FROM x JOIN f USING (t)),
+pre AS (SELECT c, n, t FROM o WHERE nth <= n - ceil(n * 0.8) + 1),
+cand AS (SELECT DISTINCT a.c AS a, b.c AS b FROM pre a JOIN pre b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+both AS (SELECT a, b, len(list_intersect(ca.sh, cb.sh)) AS i, ca.n + cb.n AS total FROM cand JOIN c ca ON ca.c = a JOIN c cb ON cb.c = b),
+link AS (SELECT a, b FROM both WHERE 100 * i >= 80 * (total - i)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c, c AS other FROM c UNION SELECT r.c, e.b FROM reach r JOIN e ON r.other = e.a),
+comp AS (SELECT r.c, min(o.first) AS component_id FROM reach r JOIN c o ON o.c = r.other GROUP BY r.c)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, s.doc_id = coalesce(component_id, s.doc_id) AS kept
+FROM s LEFT JOIN comp ON len(s.sh) > 0 AND comp.c = md5(array_to_string(s.sh, chr(10)))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_cross_polytope_dedup": EMBEDDING_SQL, "op2_lsm_exact_dedup": DEDUP_SQL, "op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
+    return {"op7_minmax_near_dedup": MINHASH_SQL, "op6_cross_polytope_dedup": EMBEDDING_SQL, "op2_lsm_exact_dedup": DEDUP_SQL, "op1_extendible_shards": shard_sql(sharding.LIMIT_BYTES), "op5_capped_mix": MIX_SQL, "op10_url_filter": URL_SQL}
