@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, minhash_dedup, mixing, sharding, toxicity, url_filter
+from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, html_main, minhash_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -19,6 +19,10 @@ def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -130,8 +134,8 @@ f AS (SELECT t, count(*) AS df FROM x GROUP BY t),
 o AS (SELECT c, n, t, row_number() OVER (PARTITION BY c ORDER BY df, t) AS nth FROM x JOIN f USING (t)),
 pre AS (SELECT c, n, t FROM o WHERE nth <= n - ceil(n * 0.8) + 1),
 cand AS (SELECT DISTINCT a.c AS a, b.c AS b FROM pre a JOIN pre b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
-both AS (SELECT a, b, len(list_intersect(ca.sh, cb.sh)) AS i, ca.n + cb.n AS total FROM cand JOIN c ca ON ca.c = a JOIN c cb ON cb.c = b),
-link AS (SELECT a, b FROM both WHERE 100 * i >= 80 * (total - i)),
+mutual AS (SELECT a, b, len(list_intersect(ca.sh, cb.sh)) AS i, ca.n + cb.n AS total FROM cand JOIN c ca ON ca.c = a JOIN c cb ON cb.c = b),
+link AS (SELECT a, b FROM mutual WHERE 100 * i >= 80 * (total - i)),
 e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT c, c AS other FROM c UNION SELECT r.c, e.b FROM reach r JOIN e ON r.other = e.a),
 comp AS (SELECT r.c, min(o.first) AS component_id FROM reach r JOIN c o ON o.c = r.other GROUP BY r.c)
