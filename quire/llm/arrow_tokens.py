@@ -30,7 +30,7 @@ from quire.llm.common import fresh_path
 
 SEQUENCE = 2048
 SEQUENCES = 256  # of a record batch
-CACHE = 400_000  # words of each of the cache's two generations
+CACHE = 900_000  # words that a worker remembers
 BLOCK_CHARS = 1_500_000
 
 
@@ -39,7 +39,8 @@ class Encoder:
 
     A text that has only single spaces and line feeds between its words splits there without changing its ids: white space
     ends a piece of the pre-tokenizer, one space belongs to the word after it, one line feed is a piece of its own. All other
-    texts, and those with an added token's string, are encoded as a whole.
+    texts, and those with an added token's string, are encoded as a whole. New words are encoded many to a call, a space
+    before each; a token that begins with a space then begins a word.
     """
 
     def __init__(self, path: str):
@@ -49,79 +50,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.begins = np.zeros(1 << 8 * self.kind().itemsize if self.kind is np.uint16 else size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.begins[i] = token.startswith(space)
+        self.spaced: dict[str, bytes] = {}  # ids of a word after a space
+        self.first: dict[str, bytes] = {}  # and of a word after none
         self.line = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in got]
 
-    def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        words.difference_update(known)
-        for w in older.keys() & words:
-            known[w] = older[w]
-            words.discard(w)
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (without white space) after a space."""
+        out, width = [], self.kind().itemsize
+        for at in range(0, len(words), 2000):
+            raw = np.frombuffer(self._encode([" " + " ".join(words[at : at + 2000])])[0], self.kind)
+            cuts = (np.flatnonzero(self.begins[raw]) * width).tolist()
+            flat = raw.tobytes()
+            out += [flat[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(flat)], strict=True)]
+        return out
+
+    def _learn(self, words: set[str], heads: set[str]) -> None:
+        known = self.spaced
+        if len(known) > CACHE:
+            self.spaced = known = {w: known[w] for w in words & known.keys()}
         parts, todo = {}, set()
-        for w in words:  # letters and the marks after them are pieces of their own
+        for w in words.difference(known):
             core = w.rstrip(".,;:!?|*#%&$")
-            if len(core) != len(w) and core.strip(" ").isalpha():
+            if core.isalpha() and len(core) != len(w):  # letters and the marks after them are pieces of their own
                 parts[w] = core, w[len(core) :]
-                todo.update(p for p in parts[w] if p not in known)
+                if core not in known:
+                    todo.add(core)
             else:
                 todo.add(w)
         todo = list(todo)
-        known.update(zip(todo, self._encode(todo), strict=True))
-        for w, (a, b) in parts.items():
-            known[w] = known[a] + known[b]
+        known.update(zip(todo, self._spaced(todo), strict=True))
+        marks = list({m for _, m in parts.values()})
+        tail = dict(zip(marks, self._encode(marks), strict=True))
+        for w, (core, m) in parts.items():
+            known[w] = known[core] + tail[m]
+        if len(self.first) > CACHE // 8:
+            self.first = {}
+        new = list(heads.difference(self.first))
+        self.first.update(zip(new, self._encode(new), strict=True))
 
     def blocks(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.kind."""
         at = 0
         while at < len(texts):
-            cut, chars, seen = [], 0, set()
+            cut, chars, seen, heads = [], 0, set(), set()
             while at < len(texts) and (not cut or chars < BLOCK_CHARS):
                 text = texts[at] or ""
                 chars += len(text)
                 at += 1
-                if " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
+                words = text.split()
+                gaps = max(0, len(words) - 1)
+                if sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps or any(a in text for a in self.added):
                     cut.append(text)
                     continue
-                words = text.replace("\n", " \n ").split(" ") if text else []
-                cut.append(words)
                 seen.update(words)
-            if len(self.known) > CACHE:
-                self.older, self.known = self.known, {}
-            spaced = {" " + w for w in seen}
-            first = {w[0] for w in cut if isinstance(w, list) and w}
-            first.update(w[k + 1] for w in cut if isinstance(w, list) and "\n" in seen for k in _at(w, "\n"))
-            self._learn(spaced | first)
-            known = self.known
-            after = {w: known[" " + w] for w in seen}
-            after["\n"] = self.line
-            for words in cut:
-                if isinstance(words, str):
-                    yield self._encode([words])[0]
-                    continue
-                ids = [after[w] for w in words]
-                if words:
-                    ids[0] = known[words[0]]
-                for k in _at(words, "\n"):
-                    ids[k + 1] = known[words[k + 1]]
-                yield b"".join(ids)
-
-
-def _at(words: list[str], word: str) -> list[int]:
-    out, k = [], -1
-    try:
-        while True:
-            k = words.index(word, k + 1)
-            out.append(k)
-    except ValueError:
-        return out
+                lines = [x.split(" ") for x in text.split("\n")] if text else []
+                heads.update([x[0] for x in lines])
+                cut.append(lines)
+            self._learn(seen, heads)
+            after, first = self.spaced.__getitem__, self.first
+            for lines in cut:
+                if isinstance(lines, str):
+                    yield self._encode([lines])[0]
+                else:
+                    yield self.line.join([first[x[0]] + b"".join(map(after, x[1:])) for x in lines])
 
 
 _encoders: dict[str, Encoder] = {}
