@@ -1,9 +1,314 @@
-"""Registered queries of the document operators."""
+"""Registered queries of the document operators over whole tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import expr, spans
+from quire.operators import aggregates, backfill, render, selection, split
+from quire.operators.split import is_boundary, membership
+from quire.sources.adapters import block_nodes, conversation_blocks, event_rows, line_blocks, load, order_runs, page_articles
+from quire.sources.html_nodes import parse_nodes
+
+REGISTERED: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        REGISTERED[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+#: The characters that Unicode-aware stripping removes, for RE2.
+WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def slug_sql(c: str) -> str:
+    return f"coalesce(nullif(substr(regexp_replace(regexp_replace({c}, '[<>:\"/\\\\|?*{WS}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 30), ''), 'untitled')"
+
+
+def file_sql(number: str, title: str) -> str:
+    return f"CASE WHEN {number} = 0 THEN '000-preamble.html' ELSE printf('%03d', {number}) || '-' || {slug_sql(title)} || '.html' END"
+
+
+CONV = "SELECT conv_id AS doc_id, turn::INTEGER AS idx, role = 'user' AS head, CASE WHEN role = 'user' THEN 1 END AS level, text FROM conversations"
+LINES = """SELECT doc_id, idx::INTEGER AS idx, text, CASE WHEN length(text) BETWEEN 1 AND 40 THEN 1 WHEN length(text) BETWEEN 41 AND 80 THEN 2 END AS level
+FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+
+
+def parts_sql(blocks: str, boundary: str) -> str:
+    return f"b AS ({blocks}), p AS (SELECT *, (sum(CASE WHEN {boundary} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx))::INTEGER AS part FROM b)"
+
+
+def html_split_sql(blocks: str, level: int) -> str:
+    node = f"'<h' || level || '>' || {ESC.format('text')} || '</h' || level || '>'"
+    return f"""
+WITH {parts_sql(blocks, f"level = {level}")},
+n AS (SELECT *, CASE WHEN level IS NOT NULL THEN {node} ELSE '<p>' || {ESC.format("text")} || '</p>' END AS html FROM p),
+g AS (SELECT doc_id, part, string_agg(html, '' ORDER BY idx) AS html, {strip_sql("arg_min(text, idx)")} AS head FROM n GROUP BY doc_id, part),
+m AS (SELECT *, max(part) OVER (PARTITION BY doc_id) AS most FROM g)
+SELECT doc_id, (CASE WHEN most = 0 THEN 1 ELSE part END)::INTEGER AS number, CASE WHEN part > 0 THEN head ELSE '' END AS title, html FROM m"""
+
+
+def block_split_sql(blocks: str, level: int) -> str:
+    return f"""
+WITH {parts_sql(blocks, f"level = {level}")},
+g AS (SELECT doc_id, part, arg_min(CASE WHEN level IS NOT NULL THEN text ELSE '' END, idx) AS title, string_agg(idx, ',' ORDER BY idx) AS block_indices FROM p GROUP BY doc_id, part)
+SELECT doc_id, (CASE WHEN min(part) OVER (PARTITION BY doc_id) = 0 THEN part + 1 ELSE part END)::INTEGER AS number, title, block_indices FROM g"""
+
+
+def _conv(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_blocks(load(spark, d, "conversations"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_blocks(load(spark, d, "documents"))
+
+
+def _joined(articles: DataFrame) -> DataFrame:
+    return articles.select("doc_id", "number", "title", F.array_join(F.transform("block_indices", lambda i: i.cast("string")), ",").alias("block_indices"))
+
+
+@query(html_split_sql(CONV, 1))
+def split_conversations(spark, d):
+    return split.split_nodes(block_nodes(_conv(spark, d)), 1)
+
+
+@query(block_split_sql(CONV, 1))
+def split_conversations_blocks_route(spark, d):
+    return _joined(split.split_blocks(_conv(spark, d), 1))
+
+
+@query(html_split_sql(CONV, 6))
+def split_no_boundary(spark, d):
+    return split.split_nodes(block_nodes(_conv(spark, d)), 6)
+
+
+@query(html_split_sql(LINES, 1))
+def split_documents_l1(spark, d):
+    return split.split_nodes(block_nodes(_lines(spark, d)), 1)
+
+
+@query(html_split_sql(LINES, 2))
+def split_documents_l2(spark, d):
+    return split.split_nodes(block_nodes(_lines(spark, d)), 2)
+
+
+@query(block_split_sql(LINES, 1))
+def split_anchors(spark, d):
+    return _joined(split.split_blocks(_lines(spark, d), 1))
+
+
+@query(f"WITH {parts_sql(LINES, 'level = 1')} SELECT doc_id, idx, part FROM p")
+def article_membership(spark, d):
+    return membership(_lines(spark, d), is_boundary(1), "idx").select("doc_id", "idx", "part")
+
+
+@query(f"SELECT level::INTEGER AS level, count(*)::BIGINT AS n FROM ({LINES}) WHERE level IS NOT NULL GROUP BY level")
+def heading_counts(spark, d):
+    return aggregates.heading_counts(_lines(spark, d)).groupBy("level").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT doc_id, level::INTEGER AS level, count(*)::BIGINT AS n FROM ({LINES}) WHERE level IS NOT NULL GROUP BY ALL")
+def heading_counts_by_doc(spark, d):
+    return aggregates.heading_counts(_lines(spark, d))
+
+
+def levels_sql(indent: str) -> str:
+    return f"""c AS (SELECT doc_id, level, count(*) AS n FROM ({LINES}) WHERE level IS NOT NULL GROUP BY ALL),
+t AS (SELECT doc_id, string_agg('{indent}h' || level || ': ' || n, chr(10) ORDER BY level) AS r FROM c GROUP BY doc_id),
+lv AS (SELECT DISTINCT d.doc_id, coalesce(r, 'no headings found') AS report FROM documents d LEFT JOIN t USING (doc_id))"""
+
+
+@query(f"WITH {levels_sql('')} SELECT doc_id, report FROM lv")
+def list_levels_text(spark, d):
+    return aggregates.levels_text(heading_counts_by_doc(spark, d), load(spark, d, "documents"))
+
+
+def report_sql(blocks: str, level: int) -> str:
+    return f"""a AS ({html_split_sql(blocks, level)}),
+r AS (SELECT doc_id, count(*)::BIGINT AS articles, bool_or(number = 0) AS has_preamble, count(*) = 1 AND max(title) = '' AS left_whole FROM a GROUP BY doc_id)"""
+
+
+@query(f"WITH {report_sql(LINES, 1)} SELECT doc_id, articles, has_preamble, left_whole FROM r")
+def split_report(spark, d):
+    return aggregates.split_report(split_documents_l1(spark, d))
+
+
+@query(f"WITH {report_sql(CONV, 1)} SELECT doc_id, articles, has_preamble, left_whole FROM r")
+def split_report_conversations(spark, d):
+    return aggregates.split_report(split_conversations(spark, d))
+
+
+@query(f"""WITH {levels_sql("  ")}, {report_sql(LINES, 1)}
+SELECT doc_id, concat_ws(chr(10), 'source: ' || doc_id, 'level: h1', 'articles: ' || articles, CASE WHEN has_preamble THEN 'preamble: yes' END,
+  CASE WHEN left_whole THEN 'note: no heading at this level; document left whole' END, 'levels:' || chr(10) || report) AS report FROM r JOIN lv USING (doc_id)""")
+def split_report_text(spark, d):
+    return aggregates.split_report_text(split_documents_l1(spark, d), heading_counts_by_doc(spark, d), load(spark, d, "documents"), 1)
+
+
+@query(f"SELECT doc_id, number, title, {file_sql('number', 'title')} AS file FROM ({html_split_sql(LINES, 1)})")
+def article_filename(spark, d):
+    return split_documents_l1(spark, d).select("doc_id", "number", "title", expr.article_filename(F.col("number"), F.col("title")).alias("file"))
+
+
+@query(f"SELECT doc_id, idx, {slug_sql('text')} AS slug FROM ({LINES})")
+def slug_titles(spark, d):
+    return _lines(spark, d).select("doc_id", "idx", expr.slug(F.col("text")).alias("slug"))
+
+
+@query(f"SELECT doc_id, idx, {strip_sql('text')} AS stripped, NOT regexp_matches(text, '[^{WS}]') AS blank FROM ({LINES})")
+def strip_text(spark, d):
+    return _lines(spark, d).select("doc_id", "idx", expr.ws_strip(F.col("text")).alias("stripped"), expr.is_blank(F.col("text")).alias("blank"))
+
+
+@query(f"""SELECT doc_id, idx, CASE WHEN level IS NOT NULL THEN 'H' || level ELSE 'para' END AS label, 0 AS page,
+  CASE idx % 4 WHEN 0 THEN '1.00' WHEN 1 THEN '0.75' WHEN 2 THEN '0.50' ELSE '0.25' END AS confidence, CASE idx % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'med' WHEN 2 THEN 'med' ELSE 'low' END AS confidence_class,
+  CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN left(replace(text, chr(10), ' '), 200) || '…' ELSE replace(text, chr(10), ' ') END AS text,
+  CASE WHEN level IS NOT NULL THEN 'line, short' ELSE '—' END AS signals FROM ({LINES})""")
+def block_inspection(spark, d):
+    return render.block_inspection(_inspected(_lines(spark, d)))
+
+
+def _inspected(blocks: DataFrame) -> DataFrame:
+    signals = F.when(F.col("level").isNotNull(), F.array(F.lit("line"), F.lit("short"))).otherwise(F.array().cast("array<string>"))
+    return blocks.withColumns({"page_index": F.lit(0), "kind_confidence": 1 - (F.col("idx") % 4) * F.lit(0.25), "signals": signals})
+
+
+@query(f"SELECT page_id, {ESC.format('html')} AS escaped FROM pages")
+def html_escape_text(spark, d):
+    return load(spark, d, "pages").select("page_id", expr.html_escape(F.col("html")).alias("escaped"))
+
+
+_ITEM = f"""'<li><a href="' || {file_sql("number", "title")} || '">' || {ESC.format("coalesce(nullif(title, ''), 'preamble')")} || '</a></li>'"""
+
+
+@query(f"""SELECT doc_id, '<ul>' || chr(10) || string_agg({_ITEM}, chr(10) ORDER BY number) || chr(10) || '</ul>' || chr(10) || '<p>' || count(*) || ' article(s) split at heading level.</p>' AS index
+FROM ({html_split_sql(CONV, 1)}) GROUP BY doc_id""")
+def article_index_html(spark, d):
+    return render.article_index(split_conversations(spark, d))
+
+
+@query(f"""SELECT doc_id, number, {file_sql("number", "title")} AS file,
+'<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>' || {ESC.format("coalesce(nullif(title, ''), doc_id::VARCHAR)")} || '</title><style>{render.EMPTY_PARAGRAPH_CSS}</style></head>' || chr(10) || '<body>' || chr(10) || html || chr(10) || '</body></html>' || chr(10) AS page
+FROM ({html_split_sql(CONV, 1)})""")
+def article_pages(spark, d):
+    return render.article_pages(split_conversations(spark, d))
+
+
+@query("""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY k) OR k = 1 AS starts FROM o),
+g AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY user_id ORDER BY k) AS island FROM f)
+SELECT user_id AS doc_id, (island - 1)::INTEGER AS idx, any_value(event_type) AS font_name, string_agg(event_id::VARCHAR, '' ORDER BY k) AS text FROM g GROUP BY user_id, island""")
+def merge_adjacent_spans(spark, d):
+    return spans.merge_rows(event_rows(load(spark, d, "events")), "doc_id", ["ts", "event_id"], ["font_name"])
+
+
+@query("""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS k FROM lineitem),
+f AS (SELECT *, l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY k) OR k = 1 AS starts FROM o),
+g AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY k) AS island FROM f)
+SELECT l_orderkey AS doc_id, (island - 1)::INTEGER AS idx, any_value(l_returnflag) AS font_name, false AS bold, string_agg(l_partkey::VARCHAR, '' ORDER BY k) AS text FROM g GROUP BY l_orderkey, island""")
+def merge_adjacent_nested(spark, d):
+    runs = order_runs(load(spark, d, "lineitem"))
+    merged = runs.select("doc_id", F.posexplode(spans.extract_spans(F.col("runs"))).alias("idx", "span"))
+    return merged.select("doc_id", "idx", "span.font_name", "span.bold", "span.text")
+
+
+@query("""
+SELECT l_orderkey, string_agg(r, chr(10) ORDER BY r) AS text, max(4)::INTEGER AS widest FROM
+(SELECT l_orderkey, l_linenumber::VARCHAR || ' | ' || l_partkey::VARCHAR || ' | ' || l_returnflag || ' | ' || l_linestatus AS r FROM lineitem) GROUP BY l_orderkey""")
+def table_text(spark, d):
+    cells = F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag", "l_linestatus")
+    rows = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array_join(cells, " | ").alias("r"), cells.alias("cells"))).alias("rows"))
+    ordered = F.transform(F.array_sort("rows"), lambda r: r["cells"])
+    return rows.select("l_orderkey", spans.cells_text(ordered).alias("text"), spans.widest_row(ordered).alias("widest"))
+
+
+_BODY = f"SELECT doc_id, idx AS body_pos, CASE WHEN level IS NULL THEN 'p' ELSE 'tbl' END AS tag, (row_number() OVER (PARTITION BY doc_id, level IS NULL ORDER BY idx) - 1)::INTEGER AS kind_idx, text FROM ({LINES})"
+
+
+def _body(spark, d) -> DataFrame:
+    rows = _lines(spark, d).select("doc_id", F.col("idx").alias("body_pos"), F.when(F.col("level").isNull(), "p").otherwise("tbl").alias("tag"), "text")
+    return selection.body_counters(rows)
+
+
+def _wanted(spark, d) -> DataFrame:
+    """Paragraphs 0, 3 and 3 again and table 1 of each document with a label."""
+    one = F.struct(F.lit("p").alias("tag"), F.lit(0).alias("kind_idx"))
+    asked = F.array(one, F.struct(F.lit("p").alias("tag"), F.lit(3).alias("kind_idx")), F.struct(F.lit("p").alias("tag"), F.lit(3).alias("kind_idx")), F.struct(F.lit("tbl").alias("tag"), F.lit(1).alias("kind_idx")))
+    return load(spark, d, "labels").select("doc_id", F.inline(asked))
+
+
+_WANTED = "SELECT doc_id, tag, kind_idx FROM labels, (VALUES ('p', 0), ('p', 3), ('p', 3), ('tbl', 1)) v(tag, kind_idx)"
+
+
+@query(f"SELECT doc_id, body_pos, tag, kind_idx, text FROM ({_BODY}) b WHERE EXISTS (SELECT 1 FROM ({_WANTED}) w WHERE w.doc_id = b.doc_id AND w.tag = b.tag AND w.kind_idx = b.kind_idx)")
+def extract_selection(spark, d):
+    return selection.select_elements(_body(spark, d), _wanted(spark, d)).select("doc_id", "body_pos", "tag", "kind_idx", "text")
+
+
+@query(f"""SELECT w.doc_id, w.tag, string_agg(DISTINCT w.kind_idx::VARCHAR, ',' ORDER BY w.kind_idx::VARCHAR) AS bad FROM ({_WANTED}) w
+LEFT JOIN (SELECT doc_id, tag, count(*) AS n FROM ({_BODY}) GROUP BY ALL) s ON w.doc_id = s.doc_id AND w.tag = s.tag WHERE w.kind_idx < 0 OR w.kind_idx >= coalesce(n, 0) GROUP BY ALL""")
+def invalid_indices(spark, d):
+    got = selection.invalid_indices(_body(spark, d), _wanted(spark, d))
+    return got.select("doc_id", "tag", F.array_join(F.transform("bad", lambda i: i.cast("string")), ",").alias("bad"))
+
+
+@query(f"""WITH b AS ({LINES}), e AS (SELECT l.doc_id, 0 AS docx_para_idx, i AS idx, '[' || i || ':' || coalesce(l.quality, -1) || ']' AS new FROM labels l, range(0, 3) t(i)),
+last AS (SELECT doc_id, docx_para_idx, arg_max(new, idx) AS new FROM e GROUP BY ALL)
+SELECT b.doc_id, b.idx AS docx_para_idx, coalesce(new, b.text) AS text FROM b LEFT JOIN last ON b.doc_id = last.doc_id AND b.idx = last.docx_para_idx""")
+def backfill_update(spark, d):
+    original = _lines(spark, d).select("doc_id", F.col("idx").alias("docx_para_idx"), "text")
+    some = load(spark, d, "labels").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("idx"))
+    edits = some.select("doc_id", F.lit(0).alias("docx_para_idx"), "idx", F.format_string("[%d:%d]", F.col("idx"), F.col("q")).alias("text"))
+    return backfill.update_text(original, edits)
+
+
+@query(f"""SELECT doc_id, body_pos, docx_para_idx::INTEGER AS docx_para_idx, (row_number() OVER (PARTITION BY doc_id ORDER BY body_pos) - 1)::INTEGER AS idx FROM
+(SELECT doc_id, idx AS body_pos, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS docx_para_idx, length(text) % 5 <> 0 AS keep FROM ({LINES})) WHERE keep""")
+def block_anchor_counters(spark, d):
+    body = _lines(spark, d).select("doc_id", F.col("idx").alias("body_pos"), (F.length("text") % 5 != 0).alias("keep"))
+    return selection.block_counters(body).select("doc_id", "body_pos", "docx_para_idx", "idx")
+
+
+@query(f"SELECT doc_id, count(*)::BIGINT AS blocks, count(*)::BIGINT AS paragraphs, 0::BIGINT AS tables FROM ({LINES}) GROUP BY doc_id")
+def document_counters(spark, d):
+    return aggregates.document_counters(_lines(spark, d))
+
+
+@query("""SELECT page_id AS doc_id, 0::INTEGER AS node_idx, 'tag' AS node_type, 'html' AS tag FROM pages""")
+def page_top_nodes(spark, d):
+    nodes = parse_nodes(load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("fragment")), with_html=False)
+    return nodes.select("doc_id", "node_idx", "node_type", "tag")
+
+
+@query("SELECT page_id AS doc_id, 1::INTEGER AS level, len(regexp_extract_all(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<h1'))::BIGINT AS n FROM pages")
+def page_heading_counts(spark, d):
+    nodes = parse_nodes(page_articles(load(spark, d, "pages")), with_html=False)
+    return aggregates.heading_counts(split.node_levels(nodes))
+
+
+@query()
+def page_article_split(spark, d):
+    return split.split_nodes(parse_nodes(page_articles(load(spark, d, "pages"))), 1)
 
 
 def queries() -> dict:
-    return {}
+    return dict(REGISTERED)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
