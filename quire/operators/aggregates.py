@@ -29,16 +29,16 @@ def split_report(articles: DataFrame) -> DataFrame:
     return articles.groupBy("doc_id").agg(F.count("*").alias("articles"), F.bool_or(F.col("number") == 0).alias("has_preamble"), ((F.count("*") == 1) & (F.max("title") == "")).alias("left_whole"))
 
 
-def split_report_text(articles: DataFrame, counts: DataFrame, docs: DataFrame, level: int, indent: str = "  ") -> DataFrame:
+def split_report_text(articles: DataFrame, counts: DataFrame, docs: DataFrame, level: int, indent: str = "") -> DataFrame:
     """doc_id, report: what a split did, with the level inventory."""
     got = split_report(articles).join(levels_text(counts, docs, indent).withColumnRenamed("report", "levels"), "doc_id")
     lines = [
         F.concat(F.lit("source: "), F.col("doc_id").cast("string")),
-        F.lit(f"level: h{level}"),
+        F.lit(f"level: {level}"),
         F.format_string("articles: %d", F.col("articles")),
-        F.when(F.col("has_preamble"), F.lit("preamble: yes")),
-        F.when(F.col("left_whole"), F.lit("note: no heading at this level; document left whole")),
-        F.concat(F.lit("levels:\n"), F.col("levels")),
+        F.when(F.col("has_preamble"), F.lit("preamble: yes (content before the first heading)")),
+        F.when(F.col("left_whole"), F.lit(f"note: no heading at level {level}; document left whole")),
+        F.concat(F.lit("heading levels in document:\n"), F.col("levels")),
     ]
     return got.select("doc_id", F.concat_ws("\n", *lines).alias("report"))
 

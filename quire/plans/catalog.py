@@ -151,9 +151,9 @@ def split_report_conversations(spark, d):
     return aggregates.split_report(split_conversations(spark, d))
 
 
-@query(f"""WITH {levels_sql("  ")}, {report_sql(LINES, 1)}
-SELECT doc_id, concat_ws(chr(10), 'source: ' || doc_id, 'level: h1', 'articles: ' || articles, CASE WHEN has_preamble THEN 'preamble: yes' END,
-  CASE WHEN left_whole THEN 'note: no heading at this level; document left whole' END, 'levels:' || chr(10) || report) AS report FROM r JOIN lv USING (doc_id)""")
+@query(f"""WITH {levels_sql("")}, {report_sql(LINES, 1)}
+SELECT doc_id, concat_ws(chr(10), 'source: ' || doc_id, 'level: 1', 'articles: ' || articles, CASE WHEN has_preamble THEN 'preamble: yes (content before the first heading)' END,
+  CASE WHEN left_whole THEN 'note: no heading at level 1; document left whole' END, 'heading levels in document:' || chr(10) || report) AS report FROM r JOIN lv USING (doc_id)""")
 def split_report_text(spark, d):
     return aggregates.split_report_text(split_documents_l1(spark, d), heading_counts_by_doc(spark, d), load(spark, d, "documents"), 1)
 
