@@ -23,7 +23,7 @@ def convert(corpus: Corpus) -> DataFrame:
     """doc_id, html: each document as a page."""
     fragment = corpus.nodes.groupBy("doc_id").agg(render.in_order(F.col("html"), "node_idx", "").alias("fragment"))
     got = corpus.docs.select("doc_id", "source_path").join(fragment, "doc_id", "left")
-    title = F.concat(F.lit("DocProj: "), F.element_at(F.split("source_path", "/"), -1))
+    title = F.concat(F.lit("Document: "), F.element_at(F.split("source_path", "/"), -1))
     return got.select("doc_id", render.document(F.coalesce("fragment", F.lit("")), title).alias("html"))
 
 
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"{row.doc_id}\n{row.report}")
             return 0
         if args.convert:
-            files = sinks.write_pages(convert(corpus), args.out, "docproj-source-")
+            files = sinks.write_pages(convert(corpus), args.out, "document-source-")
         else:
             level = args.level or 1
             files = sinks.write_articles(split_articles(corpus, level), args.out)

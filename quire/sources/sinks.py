@@ -52,7 +52,7 @@ def write_articles(articles: DataFrame, folder: str) -> DataFrame:
     return write_files(pages.unionByName(index), folder)
 
 
-def write_pages(pages: DataFrame, folder: str, prefix: str = "docproj-") -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, prefix: str = "document-") -> DataFrame:
     """pages (doc_id, html) as one file each, with names that don't clash."""
     name = F.concat(F.lit(re.sub(r"[^\w-]", "-", prefix)), F.lower(F.hex(F.xxhash64(F.col("doc_id").cast("string")))), F.lit(".html"))
     return write_files(pages.select(name.alias("file"), F.col("html").alias("content")), folder)

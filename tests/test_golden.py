@@ -163,3 +163,12 @@ def test_articles_hold_all_nodes(spark):
 def test_parser_never_fails_and_has_whole_nodes(parts):
     for kind, tag, html, strings in top_nodes("".join(parts)):
         assert html and kind in ("tag", "text") and (tag is None) == (kind == "text") and isinstance(strings, list)
+
+
+def test_table_function(spark):
+    from quire.functions.sql import register
+
+    register(spark)
+    spark.createDataFrame([("<h1>A <b>b</b></h1><p>x",)], "fragment string").createOrReplaceTempView("fragments")
+    got = spark.sql("SELECT node_idx, tag, title FROM fragments, LATERAL html_top_nodes(fragment) ORDER BY node_idx").collect()
+    assert [tuple(r) for r in got] == [(0, "h1", "A b"), (1, "p", "x")]
