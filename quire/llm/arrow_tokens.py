@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh_path
+from quire.llm.common import fresh_path, held
 
 SEQUENCE = 2048
 SEQUENCES = 256  # of a record batch
@@ -126,13 +126,9 @@ class Encoder:
                     yield self.line.join([first[x[0]] + b"".join(map(after, x[1:])) for x in lines])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This worker's encoder of the file."""
+    return held(("tokens", path), lambda: Encoder(path))
 
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import held
+
 END = "</w>"
 #: Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE = 250_000  # words of each of the cache's two generations
+CACHE = 120_000  # words of each of the cache's two generations
 BLOCK_CHARS = 1_500_000  # texts are handled in blocks of about this size
 CELLS = 4_000_000  # words times longest word that one pass handles
 
@@ -280,14 +282,9 @@ class Codec:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """This worker's codec of the file, built once."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """This worker's codec of the file."""
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text") -> DataFrame:

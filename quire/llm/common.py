@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +49,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_az(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_held: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one operator's tables and caches at a time, as workers outlive stages."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Gives back what another operator left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass

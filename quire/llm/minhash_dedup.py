@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.clusters import block_pairs, by_group, components, joined_roots, local_roots, star_edges
-from quire.llm.common import small, written
+from quire.llm.common import release, small, written
 
 WIDTH = 5  # words of a shingle
 PERCENT = 80
 BANDS = 36
 ROWS = 7  # values of a band
 SLACK = 0.55  # estimated similarity with a band's leader
-BLOCK = 12_000_000  # bytes of text of a block
-WORDS = 300_000  # words whose hash a worker remembers
+BLOCK = 4_000_000  # bytes of text of a block
+WORDS = 150_000  # words whose hash a worker remembers
 SEED = 7
 LAST = np.iinfo(np.int64).max
 
@@ -99,6 +99,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, th (hash of the text), n_bytes, n_shingles, node and check (128 bits of the set; null without words), keys (bands), sketch (a byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = Hasher(width, bands, rows)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
