@@ -94,3 +94,8 @@ def local_name(tag: Column) -> Column:
 
 def utc_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
+def flatten_content(blocks: Column) -> Column:
+    """The texts of a message's blocks (array of structs with `text`), one after the other; blocks without text add nothing."""
+    return F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "")

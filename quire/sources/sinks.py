@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expr import slug
-from quire.operators.render import article_index, article_pages, document
+from quire.operators.render import article_index, article_pages, document, inspection_html
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
@@ -56,3 +56,8 @@ def write_pages(pages: DataFrame, folder: str, prefix: str = "document-") -> Dat
     """pages (doc_id, html) as one file each, with names that don't clash."""
     name = F.concat(F.lit(re.sub(r"[^\w-]", "-", prefix)), F.lower(F.hex(F.xxhash64(F.col("doc_id").cast("string")))), F.lit(".html"))
     return write_files(pages.select(name.alias("file"), F.col("html").alias("content")), folder)
+
+
+def write_inspection(blocks: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document's inspection page as a file of its own."""
+    return write_pages(inspection_html(blocks, docs), folder)

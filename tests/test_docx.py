@@ -110,3 +110,9 @@ def test_stream_splits_whole_documents(spark, tmp_path):
     query = split_stream(source, lambda df, nth: got.extend((r.number, r.title) for r in df.collect()), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert sorted(got) == [(1, "A"), (2, "B")]
+
+
+def test_inspection_files(corpus, tmp_path):
+    files = sinks.write_inspection(corpus.blocks, corpus.docs, str(tmp_path)).collect()
+    pages = [(tmp_path / r.file).read_text() for r in files]
+    assert len(pages) == 2 and any("style_id:Heading1" in p and "bold &lt;x&gt;" in p for p in pages) and any("blocks: 0" in p for p in pages)

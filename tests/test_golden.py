@@ -172,3 +172,7 @@ def test_table_function(spark):
     spark.createDataFrame([("<h1>A <b>b</b></h1><p>x",)], "fragment string").createOrReplaceTempView("fragments")
     got = spark.sql("SELECT node_idx, tag, title FROM fragments, LATERAL html_top_nodes(fragment) ORDER BY node_idx").collect()
     assert [tuple(r) for r in got] == [(0, "h1", "A b"), (1, "p", "x")]
+
+
+def test_message_content(spark):
+    assert column(spark, [("a",), (None,), ("b",)], "array<struct<text:string>>", expr.flatten_content) == "ab"
