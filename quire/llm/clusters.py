@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small, written
+from quire.llm.common import release, small, written
 
 
 def star_edges(members: DataFrame) -> DataFrame:
     """members (key, node: long) to distinct (a, b): b shares a bucket whose smallest node is a."""
     lead = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
+    lead = written(lead, "leaders")  # joined as a table, a bucket with many members can be split
     return members.join(lead, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -54,6 +55,7 @@ def by_group(rows: DataFrame, keys: list[str], solve: Callable[[list[pa.Table]],
     """solve(table of one group) -> RecordBatch or None, over rows dealt and sorted by keys; many groups share a task, so small ones cost little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         last = None
 
