@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small, written
+from quire.llm.common import release, small, written
 
 MEMTABLE = 200_000  # entries
 RANGE_ROWS = 200_000  # rows of the table for each digest range
@@ -110,6 +110,7 @@ def flush(parts: int, memtable: int):
             yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (digests[lo:hi], ids[lo:hi], counts[lo:hi], bits))], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, n = [], 0
         for batch in batches:
             ids = batch.column(1).fill_null(LAST)
@@ -155,6 +156,7 @@ def _assigned(docs: DataFrame, keep: str, digest_bytes: int) -> tuple[DataFrame,
     hits = written(build_index(rows).filter("group_size > 1"), "dedup-hits")
     some = docs.select(digest_of(text, digest_bytes).alias("digest"), F.coalesce(F.col("doc_id").cast("long") * sign, F.lit(int(LAST))).alias("own"), text.alias("text")).join(small(hits), "digest")
     stays = some.filter(F.col("own") == F.col("id")).groupBy("digest").agg(F.min("text").alias("stays"), F.count("*").alias("n"))
+    stays = written(stays, "dedup-stays")  # joined as a table, a digest with many rows can be split
     differs = F.col("text") != F.col("stays")
     odd = some.join(stays, "digest").filter(differs | ((F.col("n") > 1) & (F.col("own") == F.col("id")))).select("digest", "own", F.when(differs, F.col("text")).alias("text"), differs.alias("differs"))
     odd = written(odd, "dedup-odd")
@@ -187,23 +189,19 @@ def assign(docs: DataFrame, keep: str = "min", digest_bytes: int = WIDTH) -> Dat
     return out.select("doc_id", keep_id.alias("keep_id"), "group_size", "kept", "text_sha256")
 
 
-def kept_documents(docs: DataFrame, keep: str = "min") -> DataFrame:
+def kept_documents(docs: DataFrame, keep: str = "min", digest_bytes: int = WIDTH) -> DataFrame:
     """docs without the copies: of equal texts one row stays."""
     sign = -1 if keep == "max" else 1
-    hits, odd, differ, repeat = _assigned(docs, keep, WIDTH)
+    hits, _, differ, repeat = _assigned(docs, keep, digest_bytes)
     own_columns = docs.columns
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own_columns)).alias("doc"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(F.col("doc_id").cast("long") * sign, F.lit(int(LAST))).alias("own"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own_columns)).alias("doc"), digest_of(text, digest_bytes).alias("digest"), F.coalesce(F.col("doc_id").cast("long") * sign, F.lit(int(LAST))).alias("own"))
     got = rows.join(small(hits), "digest", "left")
+    if differ:  # digests that several texts share: their rows are told apart by text
+        single = got.filter(F.col("group_size").isNull())
+        first = got.filter(F.col("group_size").isNotNull()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", F.coalesce("doc.text", F.lit(""))).orderBy("own"))).filter("nth = 1")
+        return single.select("doc.*").unionByName(first.select("doc.*"))
     if repeat:
-        stay = got.filter(F.col("own") == F.col("id"))
-        first = stay.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).filter("nth = 1")
-        out = got.filter(F.col("group_size").isNull()).select("doc.*").unionByName(first.select("doc.*"))
-    else:
-        out = got.filter(F.col("group_size").isNull() | (F.col("own") == F.col("id"))).select("doc.*")
-    if differ:
-        apart = odd.select("digest", "own", F.col("text").alias("odd_text")).groupBy("digest", "odd_text").agg(F.min("own").alias("own"))
-        more = rows.join(apart, (rows["digest"] == apart["digest"]) & (rows["own"] == apart["own"]) & (F.coalesce(F.col("doc.text"), F.lit("")) == apart["odd_text"]))
-        first = more.withColumn("nth", F.row_number().over(Window.partitionBy("odd_text").orderBy(apart["own"]))).filter("nth = 1")
-        out = out.unionByName(first.select("doc.*"))
-    return out
+        first = got.filter(F.col("own") == F.col("id")).withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).filter("nth = 1")
+        return got.filter(F.col("group_size").isNull()).select("doc.*").unionByName(first.select("doc.*"))
+    return got.filter(F.col("group_size").isNull() | (F.col("own") == F.col("id"))).select("doc.*")
