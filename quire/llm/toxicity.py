@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import release, written
 
 MAX_POSITIVE = 3000  # confirmed texts that the fit sees at most
 MAX_UNLABELLED = 8000  # unlabelled texts that it sees at most
@@ -31,7 +31,7 @@ MAX_FEATURES = 2000
 MIN_POSITIVE, MIN_SHARE = 3, 0.005  # confirmed texts that have a feature, at least: so many, and this share
 MIN_LIFT = 4.0  # its share of P over its share of U, at least
 THRESHOLD = 0.3
-SEEN_WORDS = 400_000  # words a worker remembers as looked up
+SEEN_WORDS = 200_000  # words a worker remembers as looked up
 EDGES = " \t.,;:!?|()[]{}<>\"'%*&#$"
 
 
@@ -95,7 +95,7 @@ def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, r
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     for t in range(1, steps + 1):
-        z = x @ theta[:m] + theta[m]
+        z = (x @ theta[:m].astype(x.dtype)).astype(np.float64) + theta[m]
         s = sigmoid(z)
         soft = np.logaddexp(0, z)  # the loss of calling an example negative; its slope is s
         slope = np.zeros(n)
@@ -106,7 +106,7 @@ def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, r
         else:  # overfitting on the negatives: step back from it
             slope[p] = prior * s[p] / p.sum()
             slope[u] = -s[u] / u.sum()
-        grad = np.append(x.T @ slope, slope.sum())
+        grad = np.append(slope.astype(x.dtype) @ x, slope.sum())
         grad[:m] += decay * theta[:m]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -158,19 +158,21 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(offset + sum(sorted(weights[f] for f in found)), -40, 40))))
 
 
-def scored(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score. docs must have `text`."""
+def scored(docs: DataFrame, model, keep: list[str], below: float | None = None) -> DataFrame:
+    """The columns `keep` of docs, and score; with `below` only those columns of the rows whose score is below it. docs must have `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         score = Scorer(model)
         for batch in batches:
             scores = pa.array([score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[f"c{k}" for k in range(len(keep))] + ["score"])
 
-    asked = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)), F.col("text").alias("__text"))
+    asked = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)), F.col("text").alias("scored_text"))
     kinds = [f.dataType.simpleString() for f in asked.schema.fields[:-1]]
     out = asked.mapInArrow(run, ", ".join([f"c{k} {t}" for k, t in enumerate(kinds)] + ["score double"]))
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), "score")
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep)]
+    return out.select(*own, "score") if below is None else out.filter(F.col("score") < below).select(*own)
 
 
 def judged(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
@@ -181,4 +183,4 @@ def judged(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """docs without the texts that are judged toxic."""
-    return scored(docs, fit(docs, labels, **bounds), docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
+    return scored(docs, fit(docs, labels, **bounds), docs.columns, THRESHOLD)
