@@ -30,9 +30,9 @@ from quire.llm.common import held
 END = "</w>"
 #: Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE = 120_000  # words of each of the cache's two generations
-BLOCK_CHARS = 1_500_000  # texts are handled in blocks of about this size
-CELLS = 4_000_000  # words times longest word that one pass handles
+CACHE = 80_000  # words of each of the cache's two generations
+BLOCK_CHARS = 500_000  # texts are handled in blocks of about this size
+CELLS = 400_000  # words times longest word that one pass handles
 
 
 def byte_letters() -> list[str]:
