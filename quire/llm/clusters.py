@@ -1,7 +1,7 @@
 """Linking at scale, shared by the near-duplicate operators.
 
-Buckets give star edges to one leader each, never pairs; a cheap test with slack removes accidental ones; components of the
-rest are coarse clusters. The exact test then runs inside every cluster, on whole rows that were shipped there once. A cluster
+Buckets give star edges to one leader each; a cheap test with slack removes accidental ones; components of the rest are coarse
+clusters. Mates of a bucket that this leaves in different clusters are tested with each other, all of them. The exact test then runs inside every cluster, on whole rows that were shipped there once. A cluster
 above the block weight is dealt out as pairs of blocks, so that no task ever holds more than two blocks.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import release, small, written
 
+MATES = 4096  # members of a block of a bucket
 
 def star_edges(members: DataFrame) -> DataFrame:
     """members (key, node: long) to distinct (a, b): b shares a bucket whose smallest node is a."""
@@ -24,6 +25,54 @@ def star_edges(members: DataFrame) -> DataFrame:
     return members.join(lead, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
+def coarse_clusters(members: DataFrame, tested: Callable[[DataFrame], DataFrame], values: DataFrame, near: Callable, block: int = MATES) -> DataFrame:
+    """(node, root) of coarse clusters: no pair of bucket mates is left that is neither in one cluster nor tested. members: (key, node: long).
+
+    tested(pairs (a, b)) gives the pairs that pass; values (node, value: binary) and near(values) -> test(k, others) are for mates
+    whom their leader did not bring together.
+    """
+    lead = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
+    lead = written(lead, "leaders")  # joined as a table, a bucket with many members can be split
+    mates = written(members.join(lead, "key").filter("node > a").select("key", "a", "node"), "mates")
+    pairs = written(mates.select("a", F.col("node").alias("b")).distinct(), "pairs")
+    coarse = components(tested(pairs))
+    more = written(_mate_edges(mates.select("key", "node"), coarse, values, near, block), "mate-edges")
+    return coarse if more.isEmpty() else components(coarse.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
+def _mate_edges(mates: DataFrame, coarse: DataFrame, values: DataFrame, near: Callable, block: int) -> DataFrame:
+    """Distinct (a, b) that pass among mates (key, node) of different components; a bucket above the block size is dealt out as pairs of blocks."""
+    named = written(mates.join(small(coarse), "node", "left").select("key", "node", F.coalesce("root", "node").alias("home")), "mates-named")
+    mixed = named.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = written(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mates-mixed")
+    rest = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rest = rest.join(values.select("node", "value"), "node").select("key", "i", "j", "block", "home", "node", "value")
+
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
+        halves = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        nodes, part, home = (table.column(c).to_numpy() for c in ("node", "block", "home"))
+        test = near(table.column("value").to_pylist())
+        root = np.unique(home, return_inverse=True)[1]
+        hub = int(np.argmax(np.bincount(root)[root]))
+        a, b = [], []
+        for k in range(len(nodes)):
+            if root[k] == root[hub]:  # who isn't with the largest component asks its members, and they need not ask
+                continue
+            others = np.flatnonzero((root != root[k]) & (part != part[k]) if halves else root != root[k])
+            hit = others[test(k, others)]
+            if len(hit):
+                a.append(np.full(len(hit), nodes[k]))
+                b.append(nodes[hit])
+                root[np.isin(root, root[hit])] = root[k]
+        if not a:
+            return None
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return by_group(rest, ["key", "i", "j"], solve, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b: long) to (node, root): the smallest node of each component, for every node with an edge. Contracts every node into its smallest neighbour until no edge is left."""
     edges = written(edges.select("a", "b").filter("a <> b"), "edges")

@@ -3,7 +3,8 @@
 A table rotates a unit vector K times by three rounds of random signs and a fast Hadamard transform; each rotation's hash is the
 axis (with sign) nearest to the result. A vector enters the bucket of its own hashes and, as a probe, the buckets its next
 nearest axes name, so that near vectors meet even where a coordinate is about to change places. Bucket mates are compared with the
-bucket's leader with slack; within the clusters that this gives, cosines of all members are computed in double precision.
+bucket's leader with slack, and those it does not bring together with each other; within the clusters that this gives, cosines of
+all members are computed in double precision.
 
 Exactly equal vectors of a label are one class with a multiplicity, so copies are never paired. A class's links are its own copies
 and those of the classes linked with it.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.clusters import block_pairs, by_group, components, joined_roots, local_roots, star_edges
+from quire.llm.clusters import block_pairs, by_group, coarse_clusters, joined_roots, local_roots
 from quire.llm.common import small, written
 
 COSINE = 0.93
@@ -138,6 +139,17 @@ def _near(pairs: DataFrame, units: DataFrame, slack: float) -> DataFrame:
     return one.join(units.select(F.col("node").alias("a"), F.col("unit").alias("u")), "a").select("a", "b", "u", "v").mapInArrow(run, "a long, b long")
 
 
+def _mates_near(cosine: float):
+    """The test among mates themselves needs no slack but for rounding."""
+
+    def near(raw: list[bytes]):
+        sizes = np.array([len(r) for r in raw])
+        x = np.frombuffer(b"".join(r.ljust(sizes.max(), b"\0") for r in raw), np.float64).reshape(len(raw), -1)
+        return lambda k, others: (sizes[others] == sizes[k]) & (x[others] @ x[k] >= cosine - 1e-9)
+
+    return near
+
+
 def _linked(cosine: float):
     """Links inside one pair of blocks: node, its smallest linked relative, and how many vectors it links with here."""
 
@@ -176,8 +188,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, slack: float = SLACK, bloc
     rows = written(_classes(vectors), "vectors")
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("label").alias("label"), F.min("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes = written(classes, "vector-classes")
-    pairs = written(star_edges(_members(classes, **how)), "vector-pairs")
-    coarse = components(_near(pairs, classes, slack))
+    values = classes.select("node", F.col("unit").alias("value"))
+    coarse = coarse_clusters(_members(classes, **how), lambda pairs: _near(pairs, classes, slack), values, _mates_near(cosine))
     nodes = coarse.join(classes, "node").select("root", "node", "unit", "copies", F.lit(1).alias("weight"))
     dealt = block_pairs(nodes, block).select("root", "i", "j", "node", "block", "blocks", "copies", "unit")
     local = written(by_group(dealt, ["root", "i", "j"], _linked(cosine), "node long, root long, links long, blocks int"), "vector-links")

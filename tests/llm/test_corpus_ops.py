@@ -298,6 +298,42 @@ def test_hashing_recall_at_the_threshold():
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(a)) / 64, a)
 
 
+def test_links_survive_unlike_leaders(spark):
+    """One label whose vectors share a direction (cosine 0.5 to 0.6): leaders of most buckets are unlike both ends of a link."""
+    rng = np.random.default_rng(61)
+    n, d = 4000, 64
+    base = rng.normal(size=(n, d)) + 1.2 * np.ones(d)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(n, d))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    both = np.concatenate([base, 0.95 * base + np.sqrt(1 - 0.95**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(both)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.dedup(df).collect()}
+    x = both.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    root = clusters.local_roots(2 * n, a, b)
+    links = np.bincount(np.r_[a, b], minlength=2 * n)
+    same = np.array([(got[k].n_links, got[k].component_id) == (links[k], root[k]) for k in range(2 * n)])
+    assert same.mean() >= 0.999
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_mates_of_a_bucket_are_all_tested(spark, block):
+    """Leader 0 is unlike all others; 1-2, 3-4 and 4-5 are near, and one bucket has them all."""
+    near = {(1, 2), (3, 4), (4, 5)}
+    members = spark.createDataFrame([(9, k) for k in range(8)] + [(8, 6), (8, 7)], "key long, node long")
+    values = members.select("node", F.col("node").cast("string").cast("binary").alias("value")).distinct()
+
+    def test(raw):
+        ids = [int(r) for r in raw]
+        return lambda k, others: np.array([(min(ids[k], ids[o]), max(ids[k], ids[o])) in near for o in others], bool)
+
+    got = clusters.coarse_clusters(members, lambda pairs: pairs.filter("a > 100"), values, test, block)
+    assert {r.node: r.root for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+
+
 # 7
 
 
