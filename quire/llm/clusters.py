@@ -18,13 +18,6 @@ from quire.llm.common import release, small, written
 
 MATES = 4096  # members of a block of a bucket
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """members (key, node: long) to distinct (a, b): b shares a bucket whose smallest node is a."""
-    lead = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    lead = written(lead, "leaders")  # joined as a table, a bucket with many members can be split
-    return members.join(lead, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
-
-
 def coarse_clusters(members: DataFrame, tested: Callable[[DataFrame], DataFrame], values: DataFrame, near: Callable, block: int = MATES) -> DataFrame:
     """(node, root) of coarse clusters: no pair of bucket mates is left that is neither in one cluster nor tested. members: (key, node: long).
 

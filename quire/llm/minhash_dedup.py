@@ -2,8 +2,8 @@
 
 Each permutation gives two values of a shingle set, its minimum and its maximum, so half the hash evaluations fill the signature.
 Values are banded; equal sets are one class, and only classes enter bands. A band's mates are tested against the band's
-leader by one byte of every value (an unbiased estimate of the similarity) with slack; in the clusters that this gives, whole
-texts are cut into full shingle sets again, and links are decided on those by counting common shingles through postings.
+leader by one byte of every value (an unbiased estimate of the similarity) with slack, and those it does not bring together
+with each other; in the clusters that this gives, whole texts are cut into full shingle sets again, and links are decided on those by counting common shingles through postings.
 A row counts as linked if the sets' intersection is at least 80 % of their union.
 
 Within a cluster only rows that aren't yet connected with the first, most typical one are compared with all others: every link
@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.clusters import block_pairs, by_group, components, joined_roots, local_roots, star_edges
+from quire.llm.clusters import block_pairs, by_group, coarse_clusters, joined_roots
 from quire.llm.common import release, small, written
 
 WIDTH = 5  # words of a shingle
 PERCENT = 80
 BANDS = 36
 ROWS = 7  # values of a band
-SLACK = 0.55  # estimated similarity with a band's leader
+SLACK = 0.55  # estimated similarity of a band's mates
 BLOCK = 4_000_000  # bytes of text of a block
 WORDS = 150_000  # words whose hash a worker remembers
 SEED = 7
@@ -123,6 +123,21 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, th long, n_shingles long, node long, check long, keys array<long>, sketch binary")
 
 
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _mates_similar(slack: float):
+    """The same test among the mates of a band."""
+
+    def near(raw: list[bytes]):
+        x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        return lambda k, others: _share(x[others], x[k]) >= slack
+
+    return near
+
+
 def _similar(pairs: DataFrame, reps: DataFrame, slack: float) -> DataFrame:
     """The pairs whose estimated similarity is at least slack."""
 
@@ -130,8 +145,7 @@ def _similar(pairs: DataFrame, reps: DataFrame, slack: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(share >= slack))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(_share(a, b) >= slack))
 
     one = pairs.join(reps.select(F.col("node").alias("b"), F.col("sketch").alias("v")), "b")
     return one.join(reps.select(F.col("node").alias("a"), F.col("sketch").alias("u")), "a").select("a", "b", "u", "v").mapInArrow(run, "a long, b long")
@@ -213,8 +227,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: in
     full = signed.filter(F.col("node").isNotNull())
     reps = full.groupBy("node", "check").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), "th")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = written(reps.select("node", "one.doc_id", "one.th", "keys", "sketch").dropDuplicates(["node"]), "minhash-classes")
-    pairs = written(star_edges(reps.select("node", F.explode("keys").alias("key"))), "minhash-pairs")
-    coarse = components(_similar(pairs, reps, slack))
+    members, values = reps.select("node", F.explode("keys").alias("key")), reps.select("node", F.col("sketch").alias("value"))
+    coarse = coarse_clusters(members, lambda pairs: _similar(pairs, reps, slack), values, _mates_similar(slack))
     wanted = written(coarse.join(reps.select("node", "doc_id", "th"), "node"), "minhash-wanted")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     fetched = text.join(small(wanted), ["doc_id", "th"]).dropDuplicates(["node"]).select("root", "node", "text", F.octet_length("text").alias("weight"))

@@ -373,6 +373,18 @@ def test_minhash(spark, width, block):
     assert minhash_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_links_survive_alien_band_leaders(spark):
+    """24,000 texts of 100 words out of a pool of 200 (any two at about 0.33), in pairs at 91 / 109."""
+    rng = np.random.default_rng(71)
+    made = []
+    for _ in range(12000):
+        words = rng.permutation(200)
+        made += [words[:100], np.r_[words[9:100], words[100:109]]]
+    rows = [(k, " ".join(f"w{w}" for w in words), "en", "a", 1) for k, words in enumerate(made)]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.dedup(spark.createDataFrame(rows, DOCS), width=1).collect()}
+    assert np.mean([got[k] == got[k + 1] == k for k in range(0, len(made), 2)]) >= 0.999
+
+
 def test_full_sets_count_shingles():
     texts = [b"a b c d e f", b"A b  c\nd e f", b"a b", b"", b"a b a b a b a b"]
     for width in (2, 5):
