@@ -57,7 +57,7 @@ def plan(measured: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     same = F.col("m.source").eqNullSafe(F.col("p.source"))
     running = Window.partitionBy("m.source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.alias("m").withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    edge = starts.join(small(per).alias("p"), same).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).select(F.col("m.source").alias("source"), "bucket", "before", "rest")
+    edge = starts.join(small(per).alias("p"), same).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select(F.col("m.source").alias("source"), "bucket", "before", "rest")
     edge = written(edge, "mix-edge")  # one bucket a source at most
     inner = measured.groupBy("source", F.shiftright("h", HASH_BITS - BUCKET_BITS).alias("bucket"), "h").agg(F.sum("size").alias("words"))
     at_edge = inner.alias("m").join(small(edge).alias("e"), F.col("m.source").eqNullSafe(F.col("e.source")) & (F.col("m.bucket") == F.col("e.bucket"))).select(F.col("m.source").alias("source"), "h", "words", F.col("e.before").alias("before"), F.col("e.rest").alias("rest"), F.col("m.bucket").alias("bucket"))

@@ -244,6 +244,19 @@ def test_mix_meets_its_targets(docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 6, 50])
+def test_mix_of_equal_sizes(spark, duck, n):
+    """Running sums of buckets meet the rest exactly: half of the documents are taken once more."""
+    import pandas as pd
+
+    made = [(k, f"word{k} more", "en", "a", 1) for k in range(n)]
+    got = mixing.mix(spark.createDataFrame(made, DOCS)).collect()
+    duck.register("equal_documents", pd.DataFrame(made, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    want = duck.sql(queries.MIX_SQL.replace("FROM documents", "FROM equal_documents")).fetchall()
+    assert sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got) == sorted(want)
+    assert sum(r.taken for r in got) == 3 * n
+
+
 # 6
 
 
