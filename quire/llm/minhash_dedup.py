@@ -247,4 +247,4 @@ def kept_documents(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     """docs with one document of each component. Rows that repeat the one that stays, id and text, stay with it."""
     gone = written(dedup(docs, width, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct(), "minhash-gone")
     h = F.xxhash64("text")
-    return docs.join(small(gone), (F.col("doc_id") == F.col("gone")) & (h == F.col("gone_th")), "left_anti")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("gone")) & (h == F.col("gone_th")), "left_anti")

@@ -398,6 +398,16 @@ def test_links_survive_alien_band_leaders(spark):
     assert np.mean([got[k] == got[k + 1] == k for k in range(0, len(made), 2)]) >= 0.999
 
 
+def test_null_ids_go_with_their_component(spark):
+    """A null id goes where a real one stays; a component of null ids keeps them all, and so do texts without words."""
+    long, alone = prose(random.Random(72), 200), prose(random.Random(73), 200)
+    made = [(5, long), (None, long), (None, long + " x"), (6, long + " y"), (None, alone), (None, alone + " z"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "en", "a", 1) for r in made], DOCS)
+    want = [r for r in made if r[1] is None or r == (5, long) or not r[1].startswith(long)]
+    assert Counter((r.doc_id, r.text) for r in minhash_dedup.kept_documents(df).collect()) == Counter(want)
+    assert Counter(r.doc_id for r in minhash_dedup.dedup(df).collect() if r.kept) == Counter(r[0] for r in want)
+
+
 def test_full_sets_count_shingles():
     texts = [b"a b c d e f", b"A b  c\nd e f", b"a b", b"", b"a b a b a b a b"]
     for width in (2, 5):
