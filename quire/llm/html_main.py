@@ -5,7 +5,8 @@ that recur on many of them are template: they are deleted, with what is by its n
 footers, sidebars, notices, adverts, forms, reader comments, hidden parts). What is left of the article is the main text;
 pages without an article element give the main element, or else the body.
 
-Inside an article, paragraphs and other blocks of text are never deleted for recurring (articles do share passages); boxes are.
+Copies of a page count as one. Inside an article, blocks of text, lists, tables and what holds them are never deleted for
+recurring (articles do share passages); boxes are. A page that would lose all its text that way keeps it.
 
 Edge cases: null or empty html and pages without text give ''; a null url counts as host ''; unclosed, misnested and cut-off
 markup is read as browsers do in the common cases; a page of any length is read whole. Repeated rows are rows; an empty table
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, written
+from quire.llm.common import BROADCAST_ROWS, small, written
 from quire.llm.url_filter import url_parts
 
 MIN_PAGES = 5  # of a host that hold a subtree, at least
@@ -37,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tbody thead caption figcaption article main body html".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tbody thead caption figcaption article main body html ul ol dl table tfoot".split())
 NO_TEXT = frozenset("head script style noscript template nav aside form footer button select option textarea input svg math iframe object embed applet canvas audio video dialog menu map title noembed noframes datalist".split())
 #: An element of the first kind ends an open one of the second, unless one of the third lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -157,9 +158,12 @@ class Page:
                         around.add(p)
                     p = self.parent[p]
         out = {}
+        holds = [tag in TEXT_BLOCKS for tag in self.tags]
+        for k in range(len(self.tags) - 1, 0, -1):
+            holds[self.parent[k]] |= holds[k]
         for k in range(1, len(self.tags)):
             tag = self.tags[k]
-            if k in around or tag in INLINE or tag in ("html", "body", "head", "article", "main") or (inside[k] and not whole and tag in TEXT_BLOCKS):
+            if k in around or tag in INLINE or tag in ("html", "body", "head", "article", "main") or (inside[k] and not whole and holds[k]):
                 continue
             out[k] = xxhash.xxh3_64_intdigest(self.source[self.start[k] : self.end[k]]) >> 1
         return out
@@ -182,7 +186,8 @@ class Page:
             elif inside[k] and not gone[k]:
                 held.append(entities.unescape(piece) if "&" in piece else piece)
         blocks.append("".join(held))
-        return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+        text = "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+        return text if text or not doomed else self.text(frozenset())
 
     def _has_title(self, k: int) -> bool:
         return any(self.tags[j] == "h1" for j in range(k + 1, len(self.tags)) if self.start[j] < self.end[k])
@@ -221,7 +226,10 @@ def recurring(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             flat = np.array([h for f in found for h in (-1, *f)], np.int64)  # -1: the page itself
             yield pa.RecordBatch.from_arrays([hosts, pa.array(flat)], names=["host", "hash"])
 
-    counts = _hosted(pages).select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    rows = _hosted(pages).select("host", "html", F.xxhash64("host", "html").alias("page"))
+    copied = small(written(rows.groupBy("page").count().filter("count > 1").select("page"), "pages-copied"))
+    different = rows.join(copied, "page", "left_anti").unionByName(rows.join(copied, "page", "left_semi").dropDuplicates(["page"]))
+    counts = different.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = written(counts.filter((F.col("hash") < 0) | (F.col("n") >= min_pages)), "subtree-counts")
     size = counts.filter("hash < 0").select("host", F.col("n").alias("pages"))
     often = counts.filter("hash >= 0").join(size, "host").filter(F.col("n") >= min_share * F.col("pages"))

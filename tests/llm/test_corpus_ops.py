@@ -144,6 +144,15 @@ def test_recurring_subtrees_go(spark):
     assert html_main.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    body = "<article><h1>T</h1><ul><li>one</ul><div>plain</div></article>"
+    made = [(k, "https://c.example/p", f"<body>{body}</body>") for k in range(8)]
+    made += [(20 + k, "https://d.example/p", f"<body><article><p>own {k}</p><ol><li>shared</ol><div><p>passage</p></div></article></body>") for k in range(8)]
+    made += [(40 + k, "https://e.example/p", f"<head><title>{k}</title></head><body><p>all alike</p></body>") for k in range(8)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(made, PAGES)).collect()}
+    assert (got[3], got[23], got[43]) == ("T\none\nplain", "own 3\nshared\npassage", "all alike")
+
+
 def test_what_is_no_article_goes():
     html = """<html><body><header>Site<nav>m</nav></header><div class="cookie-notice">We use</div><main><h1>T &amp; x</h1><p>One <b>two</b><i>three</i><br>four
     <ul><li>a<li>b</ul><aside>side</aside><form>f <input> x</form><div id="comments"><p>nice!</p></div><p>End&nbsp;here<script>var a="<p>";</script></main><div class="sidebar">s</div><footer>f</footer>"""
