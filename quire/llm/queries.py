@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, html_main, minhash_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
 
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN cum - alike
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 URL_SQL = f"""
-WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
 c AS (SELECT row_number() OVER () AS row, page_id, translate(raw, {_AZ}) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
