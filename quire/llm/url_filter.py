@@ -1,8 +1,10 @@
 """URL filter: a blocked Bloom filter of listed URL prefixes, then an exact hash join.
 
-Native: DataFrame functions only. Every page yields the keys a listed rule could have: each suffix of its host at a label
-boundary, joined with each prefix of its path whose length occurs in the list. The filter discards nearly all keys inside the
-scan; what passes is joined with the list, which removes false positives, so results never depend on the filter's size.
+Native: DataFrame functions only. Every page yields the keys a listed rule could have: for each shape that occurs in the list, as
+many last labels of its host as the rule's host has, and as many characters of its path. The filter, built once and a literal of
+the plan, discards nearly all keys inside the scan; what passes is joined with the list, which removes false positives, so results
+never depend on the filter's size. Pages without a hit are decided where they lie, and only hits are shuffled: the url column
+is read for both, which costs less than a shuffle of all rows. The work on a url is linear in its length, whatever its labels.
 
 Edge cases: a url that is null or has no `://` has an empty host and path and no rule; a host's port and user stay part of the
 host, so such a host meets no rule unless the rule lists them. Repeated rows and equal page_ids are judged row by row. Columns
@@ -11,6 +13,8 @@ of the input that aren't asked for are ignored, whatever their names. An empty l
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,26 +70,33 @@ def maybe_listed(key: Column, words: Column, blocks: int) -> Column:
     return out
 
 
+def filter_words(keys: DataFrame, blocks: int) -> Column:
+    """The filter over column `key` as one literal (4 MB at most), which every use of it in a plan shares."""
+    words = build_filter(keys, blocks).first()[0]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages. rules: host, path, verdict; the longest fitting rule wins."""
-    listed = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), F.col("verdict").alias("says")).dropDuplicates(["key"])
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    listed = rules.select(F.concat("host", "path").alias("key"), labels.alias("k"), F.length("path").alias("n"), F.col("verdict").alias("says")).dropDuplicates(["key"])
     n_keys = listed.count()
-    lengths = sorted(r[0] for r in listed.select("n").distinct().collect())  # at most as many as a path has characters
-    blocks = block_count(n_keys)
     host, path = url_parts(F.col(url_col))
     found = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     none = F.lit(None).cast("string")
     if not n_keys:
         return found.withColumns({"rule": none, "verdict": F.lit(default)})
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    cut = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(cut, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
-    words = build_filter(listed.select("key"), blocks).scalar()
-    sifted = found.withColumn("words", words).withColumn("keys", F.filter(keys, lambda k: maybe_listed(k, F.col("words"), blocks))).drop("words")
+    blocks = block_count(n_keys)
+    # a rule's shape: labels of its host, characters of its path; at most as many shapes as names have labels times paths have lengths
+    shapes = sorted(tuple(r) for r in listed.select("k", "n").distinct().collect())
+    every = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k:int,n:int>>")
+    fits = F.filter(every, lambda s: (s["k"] <= labels) & (s["n"] <= F.length("path")))
+    keys = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["k"]), F.substring(F.col("path"), F.lit(1), s["n"])))
+    words = filter_words(listed.select("key"), blocks)
+    sifted = found.withColumn("keys", F.filter(keys, lambda k: maybe_listed(k, words, blocks)))
     clear = sifted.filter(F.size("keys") == 0).select("page_id", "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
     hits = sifted.filter(F.size("keys") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("keys")).drop("keys")
-    exact = hits.join(F.broadcast(listed) if n_keys <= BROADCAST_ROWS else listed, "key", "left")
-    won = exact.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("says").isNotNull(), F.struct(F.length("key").alias("n"), "key", "says"))).alias("best"))
+    exact = hits.join(F.broadcast(listed) if n_keys <= BROADCAST_ROWS else listed.hint("merge"), "key", "left")
+    won = exact.groupBy("row").agg(*(F.first(c).alias(c) for c in ("page_id", "host", "path")), F.max(F.when(F.col("says").isNotNull(), F.struct(F.length("key").alias("n"), "key", "says"))).alias("best"))
     decided = won.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))
     return clear.unionByName(decided)
