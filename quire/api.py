@@ -9,7 +9,7 @@ import traceback
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import aggregates, render, split
+from quire.operators import aggregates, page_formats, render, split
 from quire.sources import docx, registry, sinks
 from quire.sources.registry import Corpus, read, register_reader, register_writer, write  # noqa: F401
 
@@ -23,7 +23,7 @@ def convert(corpus: Corpus) -> DataFrame:
     """doc_id, html: each document as a page."""
     fragment = corpus.nodes.groupBy("doc_id").agg(render.in_order(F.col("html"), "node_idx", "").alias("fragment"))
     got = corpus.docs.select("doc_id", "source_path").join(fragment, "doc_id", "left")
-    title = F.concat(F.lit("Document: "), F.element_at(F.split("source_path", "/"), -1))
+    title = F.concat(F.lit(page_formats.TITLE), F.element_at(F.split("source_path", "/"), -1))
     return got.select("doc_id", render.document(F.coalesce("fragment", F.lit("")), title).alias("html"))
 
 
@@ -42,6 +42,7 @@ def split_report(corpus: Corpus, level: int = 1) -> DataFrame:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    # fixed values: the options' names, the messages of misuse and the lines of the report
     parser = argparse.ArgumentParser(prog="quire", description="Inspects, converts and splits structured documents in bulk.")
     what = parser.add_mutually_exclusive_group(required=True)
     what.add_argument("--list-levels", metavar="PATH")
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"{row.doc_id}\n{row.report}")
             return 0
         if args.convert:
-            files = sinks.write_pages(convert(corpus), args.out, "document-source-")
+            files = sinks.write_pages(convert(corpus), args.out, page_formats.SOURCE_FILES)
         else:
             level = args.level or 1
             files = sinks.write_articles(split_articles(corpus, level), args.out)

@@ -55,8 +55,8 @@ def kind_label(kind: Column, level: Column) -> Column:
 
 
 def confidence_class(c: Column) -> Column:
-    """NaN compares above every number in Spark, but counts as low here."""
-    return F.when(F.isnan(c), "low").when(c >= HIGH_CONFIDENCE, "high").when(c >= MEDIUM_CONFIDENCE, "med").otherwise("low")
+    """Class of a row of the inspection page. NaN compares above every number in Spark, but counts as low here."""
+    return F.when(F.isnan(c), "conf-low").when(c >= HIGH_CONFIDENCE, "conf-high").when(c >= MEDIUM_CONFIDENCE, "conf-med").otherwise("conf-low")
 
 
 def two_decimals(c: Column) -> Column:

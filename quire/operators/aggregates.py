@@ -19,6 +19,7 @@ def counts_map(counts: DataFrame) -> DataFrame:
 
 def levels_text(counts: DataFrame, docs: DataFrame, indent: str = "") -> DataFrame:
     """doc_id, report: a line `h<level>: <n>` for each level in ascending order, or that there are none."""
+    # fixed values: a level's line, and the one of a document without headings
     lines = F.transform(F.array_sort(F.collect_list(F.struct("level", "n"))), lambda x: F.format_string(f"{indent}h%d: %d", x["level"], x["n"]))
     got = counts.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("report"))
     return docs.select("doc_id").distinct().join(got, "doc_id", "left").select("doc_id", F.coalesce("report", F.lit("no headings found")).alias("report"))
@@ -31,6 +32,7 @@ def split_report(articles: DataFrame) -> DataFrame:
 
 def split_report_text(articles: DataFrame, counts: DataFrame, docs: DataFrame, level: int, indent: str = "") -> DataFrame:
     """doc_id, report: what a split did, with the level inventory."""
+    # fixed values: the report's lines
     got = split_report(articles).join(levels_text(counts, docs, indent).withColumnRenamed("report", "levels"), "doc_id")
     lines = [
         F.concat(F.lit("source: "), F.col("doc_id").cast("string")),

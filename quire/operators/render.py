@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expr import article_filename, confidence_class, file_name, html_escape, kind_label, or_else, shortened, two_decimals
+from quire.operators import page_formats as fixed
 
-INSPECTION_CSS = "table{border-collapse:collapse}td,th{border:1px solid #bbb;padding:2px 6px;vertical-align:top}.high{color:#060}.med{color:#850}.low{color:#a00}"
-EMPTY_PARAGRAPH_CSS = "p:empty{min-height:1em}"
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in its places; null counts as empty."""
+    parts = re.split(r"\$(\w+)", template)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts) if p))
 
 
 def block_inspection(blocks: DataFrame) -> DataFrame:
@@ -23,35 +28,38 @@ def in_order(line: Column, order: str, between: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("v")))), lambda x: x["v"]), between)
 
 
-def document(fragment: Column, title: Column, css: str = EMPTY_PARAGRAPH_CSS) -> Column:
+def document(fragment: Column, title: Column) -> Column:
     """A fragment as a whole page; the title is escaped."""
-    return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), html_escape(title), F.lit(f"</title><style>{css}</style></head>\n<body>\n"), fragment, F.lit("\n</body></html>\n"))
+    return filled(fixed.DOCUMENT, title=html_escape(title), fragment=fragment)
 
 
 def inspection_html(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, html: a table of each document's blocks under a header with format, number of blocks and path."""
-    rows = block_inspection(blocks)
-    cell = lambda c: F.concat(F.lit("<td>"), html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
-    line = F.concat(F.lit("<tr>"), cell("idx"), cell("label"), cell("page"), F.lit('<td class="'), F.col("confidence_class"), F.lit('">'), F.coalesce("confidence", F.lit("")), F.lit("</td>"), cell("text"), cell("signals"), F.lit("</tr>"))
-    tables = rows.groupBy("doc_id").agg(in_order(line, "idx").alias("lines"), F.count("*").alias("n"))
+    shown = ("idx", "label", "page", "confidence", "text", "signals")
+    row = filled(fixed.INSPECTION_ROW, confidence_class=F.col("confidence_class"), **{c: html_escape(F.col(c).cast("string")) for c in shown})
+    tables = block_inspection(blocks).groupBy("doc_id").agg(in_order(row, "idx").alias("rows"), F.count("*").alias("n"))
     got = docs.select("doc_id", "source_path", "source_format").join(tables, "doc_id", "left")
-    head = F.concat(F.lit("<p>format: "), html_escape(F.col("source_format")), F.lit(", blocks: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(", path: "), html_escape(F.col("source_path")), F.lit("</p>\n"))
-    body = F.concat(head, F.lit("<table><tr><th>idx</th><th>kind</th><th>page</th><th>conf</th><th>text</th><th>signals</th></tr>\n"), F.coalesce("lines", F.lit("")), F.lit("\n</table>"))
-    return got.select("doc_id", document(body, file_name(F.col("source_path")), INSPECTION_CSS).alias("html"))
+    title = F.concat(F.lit(fixed.TITLE), html_escape(file_name(F.col("source_path"))))
+    page = filled(fixed.INSPECTION, title=title, format=html_escape(F.col("source_format")), count=F.coalesce("n", F.lit(0)), path=html_escape(F.col("source_path")), rows=F.col("rows"))
+    return got.select("doc_id", page.alias("html"))
+
+
+def _named(name: Column | None) -> Column:
+    return F.col("doc_id").cast("string") if name is None else name
 
 
 def article_pages(articles: DataFrame, name: Column | None = None) -> DataFrame:
     """doc_id, number, file, page: each article as a page named after it; untitled ones bear the document's name."""
-    name = F.col("doc_id").cast("string") if name is None else name
-    return articles.select("doc_id", "number", article_filename(F.col("number"), F.col("title")).alias("file"), document(F.col("html"), or_else(F.col("title"), name)).alias("page"))
+    return articles.select("doc_id", "number", article_filename(F.col("number"), F.col("title")).alias("file"), document(F.col("html"), or_else(F.col("title"), _named(name))).alias("page"))
 
 
-def article_index(articles: DataFrame) -> DataFrame:
-    """doc_id, index: a list of links to the articles' pages and how many there are. Any untitled article is labelled preamble."""
+def article_index(articles: DataFrame, name: Column | None = None) -> DataFrame:
+    """doc_id, index: a page with the document's name, how many articles there are, and links to their pages. Any untitled article is labelled preamble."""
     label = html_escape(or_else(F.col("title"), F.lit("preamble")))
-    item = F.concat(F.lit('<li><a href="'), article_filename(F.col("number"), F.col("title")), F.lit('">'), label, F.lit("</a></li>"))
-    got = articles.groupBy("doc_id").agg(in_order(item, "number").alias("items"), F.count("*").alias("n"))
-    return got.select("doc_id", F.concat(F.lit("<ul>\n"), F.col("items"), F.lit("\n</ul>\n<p>"), F.col("n").cast("string"), F.lit(" article(s) split at heading level.</p>")).alias("index"))
+    item = filled(fixed.INDEX_ITEM, file=article_filename(F.col("number"), F.col("title")), label=label)
+    got = articles.withColumn("name", _named(name)).groupBy("doc_id").agg(in_order(item, "number").alias("items"), F.count("*").alias("n"), F.first("name").alias("name"))
+    body = filled(fixed.INDEX, name=html_escape(F.col("name")), count=F.col("n"), items=F.col("items"))
+    return got.select("doc_id", document(body, F.concat(F.lit(fixed.INDEX_TITLE), F.col("name"))).alias("index"))
 
 
 def _unsupported(fmt: str) -> Callable:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expr import slug
-from quire.operators.render import article_index, article_pages, document, inspection_html
+from quire.operators import page_formats as fixed
+from quire.operators.render import article_index, article_pages, inspection_html
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
@@ -41,18 +42,18 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 def _folder(doc_id: Column) -> Column:
     """A document's own folder: its name, and a hash that tells equal names apart."""
     name = slug(F.element_at(F.split(doc_id.cast("string"), "/"), -1))
-    return F.concat(F.lit("articles-"), name, F.lit("-"), F.lower(F.hex(F.xxhash64(doc_id.cast("string")))))
+    return F.concat(F.lit(fixed.ARTICLE_FOLDERS), name, F.lit("-"), F.lower(F.hex(F.xxhash64(doc_id.cast("string")))))
 
 
 def write_articles(articles: DataFrame, folder: str) -> DataFrame:
     """A folder for each document with a page for each article and an index; returns file, n_bytes."""
-    at = _folder(F.col("doc_id"))
-    pages = article_pages(articles).select(F.concat(at, F.lit("/"), F.col("file")).alias("file"), F.col("page").alias("content"))
-    index = article_index(articles).select(F.concat(at, F.lit("/index.html")).alias("file"), document(F.col("index"), F.col("doc_id").cast("string")).alias("content"))
+    at, name = _folder(F.col("doc_id")), F.element_at(F.split(F.col("doc_id").cast("string"), "/"), -1)
+    pages = article_pages(articles, name).select(F.concat(at, F.lit("/"), F.col("file")).alias("file"), F.col("page").alias("content"))
+    index = article_index(articles, name).select(F.concat(at, F.lit("/index.html")).alias("file"), F.col("index").alias("content"))
     return write_files(pages.unionByName(index), folder)
 
 
-def write_pages(pages: DataFrame, folder: str, prefix: str = "document-") -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, prefix: str = fixed.INSPECTION_FILES) -> DataFrame:
     """pages (doc_id, html) as one file each, with names that don't clash."""
     name = F.concat(F.lit(re.sub(r"[^\w-]", "-", prefix)), F.lower(F.hex(F.xxhash64(F.col("doc_id").cast("string")))), F.lit(".html"))
     return write_files(pages.select(name.alias("file"), F.col("html").alias("content")), folder)
