@@ -17,15 +17,17 @@ def _format(s: Column) -> Column:
 
 
 def merge_adjacent(spans: Column) -> Column:
-    """Neighbours with the same format become one span, their texts joined in order; null formats equal each other. For the short arrays of a paragraph; merge_rows does the same for long runs of rows."""
+    """Neighbours with the same format become one span, their texts joined in order; null formats equal each other. Linear in the array's length; merge_rows does the same for long runs of rows."""
 
-    def grow(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(F.concat(last["text"], s["text"]).alias("text"), *(s[f].alias(f) for f in FORMAT_FIELDS))
-        same = (F.size(acc) > 0) & _format(last).eqNullSafe(_format(s))
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+    def merged(all_: Column) -> Column:
+        n = F.size(all_)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | ~_format(F.get(all_, k)).eqNullSafe(_format(F.get(all_, k - 1))))
+        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(n))
+        one = lambda lo, hi: F.struct(spans_text(F.slice(all_, lo + 1, hi - lo)).alias("text"), *(F.get(all_, lo)[f].alias(f) for f in FORMAT_FIELDS))
+        return F.when(n > 0, F.get(F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), one)), F.lit(0))).when(n == 0, F.array().cast(f"array<{SPAN}>"))
 
-    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), grow)
+    # as an element of an array the spans are worked out once, not at every use
+    return F.get(F.transform(F.array(spans), merged), F.lit(0))
 
 
 def merge_rows(rows: DataFrame, by: str, order: list[str], format_columns: list[str]) -> DataFrame:

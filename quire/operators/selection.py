@@ -32,9 +32,12 @@ def invalid_indices(body: DataFrame, wanted: DataFrame) -> DataFrame:
     return bad.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("kind_idx")).alias("bad"))
 
 
-def checked_selection(body: DataFrame, wanted: DataFrame) -> DataFrame:
-    """select_elements, or an error that lists the bad indices."""
-    rows = invalid_indices(body, wanted).orderBy("doc_id", "tag").limit(20).collect()  # an error message has room for no more
+def checked_selection(body: DataFrame, wanted: DataFrame, documents: int = 20) -> DataFrame:
+    """select_elements, or an error that lists all bad indices of some documents and says how many more documents have some."""
+    bad = invalid_indices(body, wanted)
+    rows = bad.orderBy("doc_id", "tag").limit(documents).collect()
     if rows:
-        raise ValueError("; ".join(f"{r.doc_id}: {r.tag} indices out of range: {list(r.bad)}" for r in rows))
+        more = bad.count() - len(rows) if len(rows) == documents else 0
+        said = [f"{r.doc_id}: {r.tag} indices out of range: {list(r.bad)}" for r in rows]
+        raise ValueError("; ".join(said + [f"and {more} more (invalid_indices lists them)"] * (more > 0)))
     return select_elements(body, wanted)
