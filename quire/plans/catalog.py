@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import expr, spans
 from quire.operators import aggregates, backfill, render, selection, split
 from quire.operators.split import is_boundary, membership
+from quire.schema import CELL
+from quire.sources import docx, docx_writer
 from quire.sources.adapters import block_nodes, conversation_blocks, event_rows, line_blocks, load, order_runs, page_articles
 from quire.sources.html_nodes import parse_nodes
 
@@ -30,6 +32,9 @@ WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
+TEXT_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 def strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
@@ -174,7 +179,7 @@ def strip_text(spark, d):
 
 
 @query(f"""SELECT doc_id, idx, CASE WHEN level IS NOT NULL THEN 'H' || level ELSE 'para' END AS label, 0 AS page,
-  CASE idx % 4 WHEN 0 THEN '1.00' WHEN 1 THEN '0.75' WHEN 2 THEN '0.50' ELSE '0.25' END AS confidence, CASE idx % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'med' WHEN 2 THEN 'med' ELSE 'low' END AS confidence_class,
+  CASE idx % 4 WHEN 0 THEN '1.00' WHEN 1 THEN '0.75' WHEN 2 THEN '0.50' ELSE '0.25' END AS confidence, CASE idx % 4 WHEN 0 THEN 'conf-high' WHEN 1 THEN 'conf-med' WHEN 2 THEN 'conf-med' ELSE 'conf-low' END AS confidence_class,
   CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN left(replace(text, chr(10), ' '), 200) || '…' ELSE replace(text, chr(10), ' ') END AS text,
   CASE WHEN level IS NOT NULL THEN 'line, short' ELSE '—' END AS signals FROM ({LINES})""")
 def block_inspection(spark, d):
@@ -191,22 +196,49 @@ def html_escape_text(spark, d):
     return load(spark, d, "pages").select("page_id", expr.html_escape(F.col("html")).alias("escaped"))
 
 
+#: The pages' text as the SQL spells it, apart from the renderer's own templates. Line feeds are written as they are.
+PAGE_HEAD = "<!doctype html>\n<html lang=\"en\">\n<head>\n<meta charset=\"utf-8\">\n<title>"
+PAGE_STYLE = "</title>\n<style>\n  /* Empty <p> elements (preserved from the source docx) collapse to\n     zero height by default; force them to take a full line. */\n  p:empty { margin: 1em 0; }\n</style>\n</head>\n<body>\n"
+PAGE_FOOT = "\n</body>\n</html>\n"
+
+
+def page_sql(title: str, fragment: str) -> str:
+    return f"'{PAGE_HEAD}' || {title} || '{PAGE_STYLE}' || {fragment} || '{PAGE_FOOT}'"
+
+
 _ITEM = f"""'<li><a href="' || {file_sql("number", "title")} || '">' || {ESC.format("coalesce(nullif(title, ''), 'preamble')")} || '</a></li>'"""
+_LIST = f"""'<h1>' || doc_id || '</h1>' || chr(10) || '<p>' || count(*) || ' article(s) split at heading level.</p>' || chr(10) || '<ul>' || chr(10) || string_agg({_ITEM}, chr(10) ORDER BY number) || chr(10) || '</ul>'"""
 
 
-@query(f"""SELECT doc_id, '<ul>' || chr(10) || string_agg({_ITEM}, chr(10) ORDER BY number) || chr(10) || '</ul>' || chr(10) || '<p>' || count(*) || ' article(s) split at heading level.</p>' AS index
-FROM ({html_split_sql(CONV, 1)}) GROUP BY doc_id""")
+@query(f"SELECT doc_id, {page_sql("'Articles: ' || doc_id", _LIST)} AS index FROM ({html_split_sql(CONV, 1)}) GROUP BY doc_id")
 def article_index_html(spark, d):
     return render.article_index(split_conversations(spark, d))
 
 
-@query(f"""SELECT doc_id, number, {file_sql("number", "title")} AS file,
-'<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>' || {ESC.format("coalesce(nullif(title, ''), doc_id::VARCHAR)")} || '</title><style>{render.EMPTY_PARAGRAPH_CSS}</style></head>' || chr(10) || '<body>' || chr(10) || html || chr(10) || '</body></html>' || chr(10) AS page
+@query(f"""SELECT doc_id, number, {file_sql("number", "title")} AS file, {page_sql(ESC.format("coalesce(nullif(title, ''), doc_id::VARCHAR)"), "html")} AS page
 FROM ({html_split_sql(CONV, 1)})""")
 def article_pages(spark, d):
     return render.article_pages(split_conversations(spark, d))
 
 
+_SHOWN = "CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN left(replace(text, chr(10), ' '), 200) || '…' ELSE replace(text, chr(10), ' ') END"
+_ROW = f"""'<tr class="conf-' || CASE idx % 4 WHEN 0 THEN 'high' WHEN 3 THEN 'low' ELSE 'med' END || '"><td>' || idx || '</td><td class="muted">' || CASE WHEN level IS NULL THEN 'para' ELSE 'H' || level END
+|| '</td><td class="muted">0</td><td class="muted">' || CASE idx % 4 WHEN 0 THEN '1.00' WHEN 1 THEN '0.75' WHEN 2 THEN '0.50' ELSE '0.25' END || '</td><td class="text">' || {ESC.format(_SHOWN)}
+|| '</td><td class="muted">' || CASE WHEN level IS NULL THEN '—' ELSE 'line, short' END || '</td></tr>'"""
+#: The style sheet is left out of the comparison: what lies between its tags is cosmetic and long.
+_REST = f"""'<body>' || chr(10) || '<h1>DocProj: d' || doc_id || '.conv</h1>' || chr(10) || '<p class="meta"><strong>Format:</strong> conv &middot; <strong>Blocks:</strong> ' || count(*) || ' &middot; <strong>Path:</strong> /corpus/d' || doc_id || '.conv</p>' || chr(10)
+|| '<table>' || chr(10) || '<thead><tr><th>idx</th><th>kind</th><th>page</th><th>conf</th><th>text</th><th>signals</th></tr></thead>' || chr(10) || '<tbody>' || chr(10) || string_agg({_ROW}, chr(10) ORDER BY idx) || chr(10) || '</tbody>' || chr(10) || '</table>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)"""
+
+
+@query(f"SELECT doc_id, '{PAGE_HEAD}' || 'DocProj: d' || doc_id || '.conv</title>' AS head, {_REST} AS body FROM ({CONV}) GROUP BY doc_id")
+def inspection_pages(spark, d):
+    blocks = _conv(spark, d)
+    path = F.concat(F.lit("/corpus/d"), F.col("doc_id").cast("string"), F.lit(".conv"))
+    docs = blocks.select("doc_id").distinct().select("doc_id", path.alias("source_path"), F.lit("conv").alias("source_format"))
+    pages = render.inspection_html(_inspected(blocks), docs)
+    return pages.select("doc_id", F.regexp_extract("html", "(?s)^(.*?</title>)", 1).alias("head"), F.regexp_extract("html", "(?s)<body>.*$", 0).alias("body"))
+
+
 @query("""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY k) OR k = 1 AS starts FROM o),
@@ -228,10 +260,11 @@ def merge_adjacent_nested(spark, d):
 
 
 @query("""
-SELECT l_orderkey, string_agg(r, chr(10) ORDER BY r) AS text, max(4)::INTEGER AS widest FROM
-(SELECT l_orderkey, l_linenumber::VARCHAR || ' | ' || l_partkey::VARCHAR || ' | ' || l_returnflag || ' | ' || l_linestatus AS r FROM lineitem) GROUP BY l_orderkey""")
+SELECT l_orderkey, string_agg(r, chr(10) ORDER BY r) AS text, max(n)::INTEGER AS widest FROM (SELECT l_orderkey, 1 + l_partkey % 4 AS n,
+array_to_string([l_linenumber::VARCHAR, l_partkey::VARCHAR, l_returnflag, l_linestatus][1 : 1 + l_partkey % 4], ' | ') AS r FROM lineitem) GROUP BY l_orderkey""")
 def table_text(spark, d):
-    cells = F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag", "l_linestatus")
+    """An order as a table whose rows have one to four cells."""
+    cells = F.slice(F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag", "l_linestatus"), F.lit(1), (1 + F.col("l_partkey") % 4).cast("int"))
     rows = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array_join(cells, " | ").alias("r"), cells.alias("cells"))).alias("rows"))
     ordered = F.transform(F.array_sort("rows"), lambda r: r["cells"])
     return rows.select("l_orderkey", spans.cells_text(ordered).alias("text"), spans.widest_row(ordered).alias("widest"))
@@ -284,9 +317,24 @@ def block_anchor_counters(spark, d):
     return selection.block_counters(body).select("doc_id", "body_pos", "docx_para_idx", "idx")
 
 
-@query(f"SELECT doc_id, count(*)::BIGINT AS blocks, count(*)::BIGINT AS paragraphs, 0::BIGINT AS tables FROM ({LINES}) GROUP BY doc_id")
+@query(f"""SELECT doc_id, count(*)::BIGINT AS blocks, count(*) FILTER (level IS NOT NULL OR length(text) % 7 NOT IN (0, 1))::BIGINT AS paragraphs, count(*) FILTER (level IS NULL AND length(text) % 7 = 0)::BIGINT AS tables
+FROM ({LINES}) GROUP BY doc_id""")
 def document_counters(spark, d):
-    return aggregates.document_counters(_lines(spark, d))
+    """Some lines count as tables and some as images."""
+    lines = _lines(spark, d)
+    rest = F.length("text") % 7
+    return aggregates.document_counters(lines.withColumn("kind", F.when(F.col("level").isNull() & (rest == 0), "table").when(F.col("level").isNull() & (rest == 1), "image").otherwise(F.col("kind"))))
+
+
+_TAG = "CASE WHEN level IS NULL THEN 'p' ELSE 'h' || level END"
+
+
+@query(f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS node_idx, 'tag' AS node_type, {_TAG} AS tag,
+'<' || {_TAG} || '>' || {TEXT_ESC.format("text")} || '</' || {_TAG} || '>' AS html, text FROM ({LINES})""")
+def fragment_top_nodes(spark, d):
+    """Each document as one HTML fragment, parsed back into its top-level nodes."""
+    fragment = block_nodes(_lines(spark, d)).groupBy("doc_id").agg(render.in_order(F.col("html"), "node_idx", "").alias("fragment"))
+    return parse_nodes(fragment).select("doc_id", "node_idx", "node_type", "tag", "html", F.array_join("strings", "").alias("text"))
 
 
 @query("""SELECT page_id AS doc_id, 0::INTEGER AS node_idx, 'tag' AS node_type, 'html' AS tag FROM pages""")
@@ -306,6 +354,75 @@ def page_article_split(spark, d):
     return split.split_nodes(parse_nodes(page_articles(load(spark, d, "pages"))), 1)
 
 
+def _word_files(spark, d) -> DataFrame:
+    """Each conversation as a Word package: turns as paragraphs and headings, and after every third one a table of two rows, of which the shorter one is filled up."""
+    turns = _conv(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    cell = lambda *texts: F.struct(F.array(*(F.struct(t.alias("text"), *(F.lit(None).cast(k).alias(f) for f, k in (("bold", "boolean"), ("italic", "boolean"), ("underline", "boolean"), ("font_name", "string"), ("font_size_pt", "double"), ("color_rgb", "string")))) for t in texts)).alias("spans"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    role, n = F.col("kind"), F.col("idx").cast("string")
+    rows = F.array(F.array(cell(F.lit("turn")), cell(n)), F.array(cell(role)))
+    given = turns.select("doc_id", (F.col("idx") * 2).alias("idx"), "kind", "text", "level", F.lit(None).cast(rows_type := f"array<array<{CELL}>>").alias("rows"))
+    tables = turns.filter("idx % 3 = 2").select("doc_id", (F.col("idx") * 2 + 1).alias("idx"), F.lit("table").alias("kind"), F.lit("").alias("text"), F.lit(None).cast("int").alias("level"), rows.cast(rows_type).alias("rows"))
+    return docx_writer.build(given.unionByName(tables))
+
+
+#: The same corpus in SQL: doc_id, pos (place in the body), level, text, p (paragraphs so far), t (tables so far); tables have no turn of their own.
+_WORD = f"""SELECT *, (row_number() OVER w - 1)::INTEGER AS pos, (sum((NOT tab)::INTEGER) OVER w - 1)::INTEGER AS p, (sum(tab::INTEGER) OVER w - 1)::INTEGER AS t FROM
+(SELECT doc_id::VARCHAR AS doc_id, 2 * idx AS place, false AS tab, level, text FROM ({CONV})
+UNION ALL SELECT doc_id::VARCHAR, 2 * idx + 1, true, NULL, 'turn | ' || idx || chr(10) || CASE WHEN head THEN 'heading' ELSE 'paragraph' END || ' | ' FROM ({CONV}) WHERE idx % 3 = 2) WINDOW w AS (PARTITION BY doc_id ORDER BY place)"""
+
+
+@query(f"""SELECT doc_id, pos AS idx, CASE WHEN tab THEN 'table' WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS kind, level::INTEGER AS level, text,
+CASE WHEN NOT tab THEN p END AS docx_para_idx, CASE WHEN tab THEN t END AS docx_table_idx, CASE WHEN tab THEN 'tag:tbl' ELSE 'style_id:' || coalesce('Heading' || level, 'None') END AS signal FROM ({_WORD})""")
+def word_blocks(spark, d):
+    """Word packages written and read back as blocks with their anchors."""
+    made = docx.blocks(docx.body_rows(_word_files(spark, d)))
+    return made.select("doc_id", "idx", "kind", "level", "text", "docx_para_idx", "docx_table_idx", F.get("signals", F.lit(1)).alias("signal"))
+
+
+_WORD_HTML = f"""CASE WHEN tab THEN '<table><tr><td><p>' || replace(replace(text, ' | ', '</p></td><td><p>'), chr(10), '</p></td></tr><tr><td><p>') || '</p></td></tr></table>'
+ELSE '<' || {_TAG} || '>' || replace({ESC.format("text")}, chr(10), '<br />') || '</' || {_TAG} || '>' END"""
+
+
+@query(f"""WITH b AS ({_WORD}), c AS (SELECT *, sum((level IS NOT DISTINCT FROM 1)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM b),
+g AS (SELECT doc_id, part, arg_min(CASE WHEN level IS NOT NULL THEN text ELSE '' END, pos) AS title, string_agg({_WORD_HTML}, '' ORDER BY pos) AS html, string_agg(pos, ',' ORDER BY pos) AS block_indices,
+coalesce(string_agg(p, ',' ORDER BY pos) FILTER (NOT tab), '') AS paragraphs, coalesce(string_agg(t, ',' ORDER BY pos) FILTER (tab), '') AS tables FROM c GROUP BY doc_id, part)
+SELECT doc_id, (part + CASE WHEN min(part) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE 0 END)::INTEGER AS number, title, html, block_indices, paragraphs, tables FROM g""")
+def word_split_anchors(spark, d):
+    """The blocks route over Word packages: articles with their html and their anchors."""
+    got = docx.split_with_anchors(docx.body_rows(_word_files(spark, d)), 1)
+    joined = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return got.select("doc_id", "number", "title", "html", joined("block_indices").alias("block_indices"), joined("docx_para_indices").alias("paragraphs"), joined("docx_table_indices").alias("tables"))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (NOT tab)::VARCHAR AS paragraphs, count(*) FILTER (tab)::VARCHAR AS tables, string_agg({_WORD_HTML}, '' ORDER BY pos) AS fragment FROM ({_WORD}) GROUP BY doc_id")
+def word_documents(spark, d):
+    """The documents of Word packages with their metadata and their html."""
+    files = _word_files(spark, d).withColumns({"source_path": F.col("doc_id"), "source_format": F.lit("docx")})
+    body = docx.body_rows(files)
+    docs = docx.documents(files, body).select("doc_id", F.col("metadata")["python_docx_para_count"].alias("paragraphs"), F.col("metadata")["python_docx_table_count"].alias("tables"))
+    return docs.join(docx.source_fragment(body), "doc_id")
+
+
+@query(f"SELECT doc_id, pos, CASE WHEN tab THEN NULL WHEN p % 2 = 0 THEN '[TR] ' || text ELSE text END AS text FROM ({_WORD})")
+def word_put_back(spark, d):
+    """Every other paragraph edited, put back into its package, and read again."""
+    files = _word_files(spark, d)
+    made = docx.blocks(docx.body_rows(files)).filter("docx_para_idx % 2 = 0")
+    text = lambda c: F.concat(F.lit("[TR] "), c)
+    edited = made.select("doc_id", "idx", "kind", "docx_para_idx", text(F.col("text")).alias("text"), F.transform("spans", lambda s: s.withField("text", text(s["text"]))).alias("spans"))
+    return docx.body_rows(docx_writer.put_back(files, edited)).select("doc_id", F.col("body_pos").alias("pos"), "text")
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS pos, CASE WHEN NOT tab THEN text END AS text FROM ({_WORD}) WHERE (NOT tab AND p IN (0, 2)) OR (tab AND t = 0)")
+def word_fragments(spark, d):
+    """Paragraphs 0 and 2 and table 0 of the packages that have them, cut out as packages of their own and read again."""
+    files = _word_files(spark, d)
+    has = docx.body_rows(files).groupBy("doc_id").agg(F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "tbl").alias("t"))
+    some = lambda n, *ks: F.filter(F.array(*map(F.lit, ks)), lambda k: k < F.col(n))
+    wanted = has.select("doc_id", some("p", 2, 0, 2).alias("docx_para_indices"), some("t", 0).alias("docx_table_indices"))
+    return docx.body_rows(docx_writer.cut_fragments(files, wanted)).select("doc_id", F.col("body_pos").alias("pos"), "text")
+
+
 def queries() -> dict:
     return dict(REGISTERED)
 

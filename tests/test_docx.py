@@ -77,6 +77,8 @@ def test_write_and_put_back(spark, corpus, tmp_path):
 def test_article_files(corpus, tmp_path):
     made = sorted(r.file for r in sinks.write_articles(api.split_articles(corpus, 1), str(tmp_path)).collect())
     assert [f.rsplit("/", 1)[-1] for f in made if "-one.docx-" in f] == ["000-preamble.html", "001-One.html", "002-Two.html", "index.html"]
+    index = (tmp_path / next(f for f in made if "-one.docx-" in f and f.endswith("index.html"))).read_text()
+    assert "<title>Articles: one.docx</title>" in index and "<h1>one.docx</h1>\n<p>3 article(s) split at heading level.</p>\n<ul>\n<li><a href=\"000-preamble.html\">preamble</a></li>" in index
     assert all((tmp_path / f).exists() for f in made) and not [p for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".html"]
 
 
@@ -115,4 +117,5 @@ def test_stream_splits_whole_documents(spark, tmp_path):
 def test_inspection_files(corpus, tmp_path):
     files = sinks.write_inspection(corpus.blocks, corpus.docs, str(tmp_path)).collect()
     pages = [(tmp_path / r.file).read_text() for r in files]
-    assert len(pages) == 2 and any("style_id:Heading1" in p and "bold &lt;x&gt;" in p for p in pages) and any("blocks: 0" in p for p in pages)
+    assert len(pages) == 2 and any("style_id:Heading1" in p and "bold &lt;x&gt;" in p for p in pages) and any("<strong>Blocks:</strong> 0 " in p for p in pages)
+    assert all(r.file.startswith("docproj-") for r in files)

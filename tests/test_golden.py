@@ -78,7 +78,7 @@ def test_slug(spark, title, slug):
     assert column(spark, title, "string", expr.slug) == slug
 
 
-@pytest.mark.parametrize("c, name", [(0.8, "high"), (0.79, "med"), (0.5, "med"), (0.49, "low"), (float("nan"), "low")])
+@pytest.mark.parametrize("c, name", [(0.8, "conf-high"), (0.79, "conf-med"), (0.5, "conf-med"), (0.49, "conf-low"), (float("nan"), "conf-low")])
 def test_confidence(spark, c, name):
     assert column(spark, c, "double", expr.confidence_class) == name
 
@@ -105,6 +105,22 @@ def test_merging_runs(spark):
     assert got == [[("ab", True, None), ("c", False, None), ("d", True, None)], [("x", False, 12.0), ("yz", False, None)], []]
 
 
+def test_merging_thousands_of_runs(spark):
+    rng = random.Random(12)
+    runs = [run(rng.choice(["a", "b", ""]), rng.choice([True, False, None]), rng.choice([None, 12.0])) for _ in range(20000)]
+    got = spark.createDataFrame([(runs,)], f"r array<{SPAN}>").select(spans.extract_spans(F.col("r"))).first()[0]
+    want = []
+    for r in runs:
+        if not r[0]:
+            continue
+        if want and want[-1][1:] == [bool(r[1]), r[5]]:
+            want[-1][0] += r[0]
+        else:
+            want.append([r[0], bool(r[1]), r[5]])
+    assert [[s.text, s.bold, s.font_size_pt] for s in got] == want
+    assert column(spark, None, f"array<{SPAN}>", spans.merge_adjacent) is None
+
+
 def test_plain_and_table_text(spark):
     assert column(spark, run("a", False), SPAN, spans.is_plain) is True
     assert column(spark, ("a", False, False, False, "", None, None), SPAN, spans.is_plain) is False
@@ -118,6 +134,9 @@ def test_selection_and_bad_indices(spark):
     bad = spark.createDataFrame([("d", "p", -1), ("d", "p", 6)], "doc_id string, tag string, kind_idx int")
     with pytest.raises(ValueError, match=r"\[-1, 6\]"):
         selection.checked_selection(body, bad)
+    many = spark.createDataFrame([(f"d{k}", "p", k) for k in range(30)], "doc_id string, tag string, kind_idx int")
+    with pytest.raises(ValueError, match="and 10 more"):
+        selection.checked_selection(body, many)
 
 
 def test_backfill(spark):
@@ -135,7 +154,8 @@ def test_rendering(spark):
     assert [(r.label, r.signals) for r in rows] == [("H2", "s, t"), ("?", "—")]
     docs = spark.createDataFrame([("d", "/x/a&b.docx", "docx"), ("e", "/x/e.docx", "docx")], "doc_id string, source_path string, source_format string")
     pages = {r.doc_id: r.html for r in render.render(blocks, docs).collect()}
-    assert "&lt;A&gt;" in pages["d"] and "<title>a&amp;b.docx</title>" in pages["d"] and "blocks: 0" in pages["e"]
+    assert "&lt;A&gt;" in pages["d"] and "<title>DocProj: a&amp;b.docx</title>" in pages["d"] and "<strong>Blocks:</strong> 0 " in pages["e"]
+    assert '<tr class="conf-low"><td>1</td><td class="muted">?</td><td class="muted">0</td><td class="muted">0.40</td><td class="text">x</td><td class="muted">—</td></tr>\n</tbody>' in pages["d"]
     for fmt, error in (("markdown", "markdown"), ("pdf", "html, json, markdown")):
         with pytest.raises(NotImplementedError, match=error):
             render.render(blocks, docs, fmt)
