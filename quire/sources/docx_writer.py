@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from copy import deepcopy
@@ -26,8 +28,6 @@ ElementTree.register_namespace("w", W[1:-1])
 
 def run_xml(span: dict) -> str:
     """A run with the attributes that are set; a colour that isn't six hexadecimal digits is left out."""
-    import re
-
     p = []
     if span.get("font_name"):
         p.append(f'<w:rFonts w:ascii="{escape(span["font_name"], {chr(34): "&quot;"})}"/>')
@@ -75,12 +75,56 @@ def package(body_xml: str) -> bytes:
     return out.getvalue()
 
 
-def _with_document(original: bytes, root) -> bytes:
-    """The package with another main part; all others, and so styles, numbering and images, stay as they are."""
+MAIN, MAIN_RELATIONS = "word/document.xml", "word/_rels/document.xml.rels"
+#: Fixed value: the namespace of references to a package's relations.
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _spelled(root, original: bytes) -> bytes:
+    """A main part with the prefixes of the original, declared even where unused: markup names some of them in attribute values."""
+    known = dict(found for _, found in ElementTree.iterparse(io.BytesIO(original), events=["start-ns"]))
+    for prefix, uri in known.items():
+        if prefix and not re.match(r"ns\d+$", prefix):
+            ElementTree.register_namespace(prefix, uri)
+    text = ElementTree.tostring(root, encoding="unicode")
+    head = text[: text.index(">")]
+    lost = "".join(f' xmlns:{p}="{escape(u, {chr(34): "&quot;"})}"' for p, u in known.items() if p and f"xmlns:{p}=" not in head)
+    at = len(head) - head.endswith("/")
+    return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n{text[:at]}{lost}{text[at:]}'.encode()
+
+
+def _unused_images(package_: zipfile.ZipFile, root) -> tuple[bytes | None, set[str]]:
+    """The main part's relations without images that it no longer refers to, and the names of parts that only those were for."""
+    names = set(package_.namelist())
+    if MAIN_RELATIONS not in names:
+        return None, set()
+    used = {v for node in root.iter() for k, v in node.attrib.items() if k.startswith(R)}
+    relations = ElementTree.fromstring(package_.read(MAIN_RELATIONS))
+    target = lambda r, base: posixpath.normpath(posixpath.join("/", base, r.get("Target"))).lstrip("/")
+    gone = [r for r in relations if r.get("Type", "").endswith("/image") and r.get("Id") not in used and r.get("TargetMode") != "External"]
+    for r in gone:
+        relations.remove(r)
+    kept = {target(r, "word") for r in relations}
+    for name in names:
+        if name.endswith(".rels") and name != MAIN_RELATIONS:
+            base = posixpath.dirname(posixpath.dirname(name))
+            kept |= {target(r, base) for r in ElementTree.fromstring(package_.read(name)) if r.get("Target")}
+    ElementTree.register_namespace("", "http://schemas.openxmlformats.org/package/2006/relationships")
+    return ElementTree.tostring(relations, encoding="UTF-8", xml_declaration=True), {target(r, "word") for r in gone} - kept
+
+
+def _with_document(original: bytes, root, trim: bool = False) -> bytes:
+    """The package with another main part; styles, numbering and all else stay as they are, but for images without a reference if trim is set."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(original)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        relations, gone = _unused_images(old, root) if trim else (None, set())
         for item in old.infolist():
-            new.writestr(item.filename, ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True) if item.filename == "word/document.xml" else old.read(item.filename))
+            if item.filename == MAIN:
+                new.writestr(MAIN, _spelled(root, old.read(MAIN)))
+            elif item.filename == MAIN_RELATIONS and relations is not None:
+                new.writestr(MAIN_RELATIONS, relations)
+            elif item.filename not in gone:
+                new.writestr(item.filename, old.read(item.filename))
     return out.getvalue()
 
 
@@ -119,7 +163,7 @@ def _set_text(run, text: str) -> None:
 
 
 def fragment(original: bytes, paragraphs: Iterable[int], tables: Iterable[int] = ()) -> bytes:
-    """A package with only the asked paragraphs and tables, each once, in the body's order; indices out of range are an error."""
+    """A package with only the asked paragraphs and tables and the images they refer to, each once, in the body's order; indices out of range are an error."""
     root, body = _body(original)
     want = {W + "p": set(paragraphs), W + "tbl": set(tables)}
     bad = {tag[len(W) :]: sorted(i for i in ids if not 0 <= i < len(body.findall(tag))) for tag, ids in want.items()}
@@ -138,7 +182,7 @@ def fragment(original: bytes, paragraphs: Iterable[int], tables: Iterable[int] =
     if last is not None:
         body.remove(last)
     body.append(deepcopy(last) if last is not None else ElementTree.Element(W + "sectPr"))
-    return _with_document(original, root)
+    return _with_document(original, root, trim=True)
 
 
 OUT = "doc_id string, content binary"

@@ -64,6 +64,31 @@ def test_fragment_and_fill():
     assert filled[0]["text"] == "new" and [(r["text"], r["bold"]) for r in filled[3]["runs"]] == [("X", True), ("Y", True), ("Z", False)]
 
 
+def test_cut_packages_keep_what_they_refer_to():
+    """Images go with the paragraphs that show them, unless another part does; prefixes named in attributes stay declared."""
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    picture = lambda k: f'<w:p><w:r><w:drawing><a:blip r:embed="rId{k}"/></w:drawing></w:r></w:p>'
+    main = f'<w:document {W} xmlns:r="{r}" xmlns:a="urn:a" xmlns:mc="urn:mc" xmlns:w14="urn:w14" mc:Ignorable="w14"><w:body>{picture(1)}{picture(2)}<w:p><w:r><w:t>t</w:t></w:r></w:p>{picture(3)}</w:body></w:document>'
+    one = lambda k, target: f'<Relationship Id="rId{k}" Type="{r}/image" Target="{target}"/>'
+    rels = lambda inner: f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{inner}</Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", main)
+        z.writestr("word/_rels/document.xml.rels", rels(one(1, "media/a.png") + one(2, "media/b.png") + one(3, "/word/media/c.png") + f'<Relationship Id="rId9" Type="{r}/styles" Target="styles.xml"/>'))
+        z.writestr("word/_rels/header1.xml.rels", rels(one(1, "media/c.png")))
+        for name in ("styles.xml", "media/a.png", "media/b.png", "media/c.png"):
+            z.writestr(f"word/{name}", name)
+    with zipfile.ZipFile(io.BytesIO(docx_writer.fragment(out.getvalue(), [1, 2]))) as cut:
+        assert {n for n in cut.namelist() if "_rels" not in n} == {"word/document.xml", "word/styles.xml", "word/media/b.png", "word/media/c.png"}
+        relations = cut.read("word/_rels/document.xml.rels").decode()
+        assert "rId2" in relations and "rId9" in relations and "rId1" not in relations and "rId3" not in relations
+        again = cut.read("word/document.xml").decode()
+        assert 'xmlns:w14="urn:w14"' in again and 'mc:Ignorable="w14"' in again and 'r:embed="rId2"' in again
+    assert [p["text"] for p in docx.parse_body(docx_writer.fragment(out.getvalue(), [1, 2]))] == ["", "t"]
+    with zipfile.ZipFile(io.BytesIO(docx_writer.fill(out.getvalue(), {2: {"text": "new"}}))) as whole:
+        assert "word/media/a.png" in whole.namelist()
+
+
 def test_write_and_put_back(spark, corpus, tmp_path):
     files = registry.write(corpus, str(tmp_path / "new"), "docx").collect()
     again = docx.parse_body((tmp_path / "new" / files[0].file).read_bytes())
@@ -119,3 +144,25 @@ def test_inspection_files(corpus, tmp_path):
     pages = [(tmp_path / r.file).read_text() for r in files]
     assert len(pages) == 2 and any("style_id:Heading1" in p and "bold &lt;x&gt;" in p for p in pages) and any("<strong>Blocks:</strong> 0 " in p for p in pages)
     assert all(r.file.startswith("docproj-") for r in files)
+
+
+def test_tools(spark, folder, tmp_path, monkeypatch):
+    from quire import tools
+
+    assert [t.__name__ for t in tools.default_tools()] == ["get_current_time", "list_docx_heading_levels", "convert_docx_to_html", "split_docx_by_headings"]
+    assert tools.get_current_time("").endswith("+00:00") and "T" in tools.get_current_time("Europe/Berlin")
+    with pytest.raises(ValueError, match="Unknown timezone: 'Mars/X'"):
+        tools.get_current_time("Mars/X")
+    one = str(folder / "one.docx")
+    assert tools.list_docx_heading_levels(one, spark) == "h1: 2"
+    said = tools.convert_docx_to_html(one, False, str(tmp_path), spark).split("\n")
+    assert said[0] == f"source: {one}" and "<title>DocProj: one.docx</title>" in open(said[1].removeprefix("html: ")).read()
+    monkeypatch.setattr(tools.webbrowser, "open", lambda url: False)
+    said = tools.split_docx_by_headings(one, 2, True, str(tmp_path), spark)
+    assert "note: no heading at level 2; document left whole\nheading levels in document:\n  h1: 2\nindex: " in said and "no browser opener found" in said
+    said = tools.split_docx_by_headings(str(folder / "empty.docx"), 1, False, str(tmp_path), spark)
+    assert "heading levels in document:\n  no headings found" in said
+    with pytest.raises(ValueError):
+        tools.split_docx_by_headings(one, 7, False, str(tmp_path), spark)
+    monkeypatch.delenv("OPENAI_MODEL", raising=False)
+    assert tools.load_settings().openai_model == "gpt-4o-mini"
