@@ -15,19 +15,38 @@ from pyspark.sql import functions as F
 
 #: Rows of two or three short columns that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of texts that may be.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves local sessions (tests); a cluster must name one, as its machines don't see each other's disks."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.shared.dir", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("quire.shared.dir", found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire-{re.sub('[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire-{re.sub('[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete_written(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder; returns how many folders. For when all results that read from it are saved."""
+    n = 0
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,8 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count finds at most that many rows, else df as it is. df should be cheap to count (a written table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df (rows of a few short columns) to be broadcast if a count finds at most that many rows, and else never, not by Spark's own estimate either. df should be cheap to count (a written table)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def small_bytes(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same by the bytes of its one long column (a written table)."""
+    n, rows = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)), F.count("*")).first()
+    return F.broadcast(df) if n <= limit and rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
