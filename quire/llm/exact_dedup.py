@@ -1,10 +1,12 @@
 """Exact dedup: a log-structured merge index over SHA-256 digests.
 
 Map tasks gather (digest, id) in a memtable, one entry a digest, and flush it as sorted runs with a Bloom filter each, one run a
-digest range. Each range's runs are then compacted two by two, smallest first: entries that the other run's filter surely
-lacks pass through, the others are searched for, and of equal digests the preferred identifier stays and the counts add up. A
-digest with a third of all rows is thus one entry of each run. Hits (rows of a digest with more than one) are verified byte
-by byte against the row that stays; the rare rows that only share a digest are grouped by their text itself.
+digest range. Runs are compacted level by level: a level's tasks merge a bounded number of entries of one range, two runs at a
+time, smallest first, and flush them as runs of FANOUT narrower ranges, until a range is narrow enough for one task to merge
+all its runs. So runs keep thousands of entries at every size. In a merge, entries that the other run's filter surely lacks pass
+through, the others are searched for, and of equal digests the preferred identifier stays and the counts add up. A digest
+with a third of all rows is thus one entry of each run. Hits (rows of a digest with more than one) are verified byte by byte
+against the row that stays; the rare rows that only share a digest are grouped by their text itself.
 
 keep='max' orders identifiers downwards, so compaction's smallest is the largest doc_id. Edge cases: a null text counts as empty; a
 null doc_id comes last and stays only where all of its group are null; of repeated rows (same doc_id and text) one is kept; an
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import release, small, written
 
 MEMTABLE = 200_000  # entries
-RANGE_ROWS = 200_000  # rows of the table for each digest range
+RANGE_ROWS = 200_000  # rows of the table for each digest range of the last level
+FANOUT = 64  # ranges of the first level, and narrower ranges of each at the next
+SALTS = 1024  # parts of a group of repeated rows that are counted apart
 FILTER_BITS = 10  # of a run's filter, for each entry
 HASHES = 4
 WIDTH = 32  # bytes of a digest
@@ -91,23 +95,30 @@ def compact(runs: list[Run]) -> Run:
 LAST = np.iinfo(np.int64).max
 
 
+RUNS = "range int, n int, digests binary, ids binary, counts binary, filter binary"
+RUN_KIND = pa.schema([("range", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("digests", "ids", "counts", "filter"))])
+
+
+def _flushed(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Sorted entries as runs, one for each of `parts` digest ranges."""
+    raw = digests.view(np.uint8).reshape(-1, WIDTH)
+    lead = raw[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+    of = lead * parts >> 32  # rises with the digest
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=parts))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        bits = Filter(digests[lo:hi]).bits
+        yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), pa.array([hi - lo], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (digests[lo:hi], ids[lo:hi], counts[lo:hi], bits))], schema=RUN_KIND)
+
+
 def flush(parts: int, memtable: int):
-    """(digest, id) to runs: rows of range, digests, ids, counts, filter."""
-    kind = pa.schema([("range", pa.int32()), *((c, pa.binary()) for c in ("digests", "ids", "counts", "filter"))])
+    """(digest, id) to runs."""
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         best = table.group_by("digest").aggregate([("id", "min"), ("n", "sum")]).sort_by("digest")
         digests = np.frombuffer(b"".join(best.column("digest").to_pylist()), f"V{WIDTH}").view(f"S{WIDTH}")
-        raw = digests.view(np.uint8).reshape(-1, WIDTH)
-        lead = raw[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
-        of = lead * parts >> 32  # rises with the digest
-        ids, counts = best.column("id_min").to_numpy(), best.column("n_sum").to_numpy()
-        cuts = np.flatnonzero(np.diff(of, prepend=-1, append=parts))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            bits = Filter(digests[lo:hi]).bits
-            yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (digests[lo:hi], ids[lo:hi], counts[lo:hi], bits))], schema=kind)
+        yield from _flushed(digests, best.column("id_min").to_numpy(), best.column("n_sum").to_numpy(), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -129,16 +140,36 @@ def flush(parts: int, memtable: int):
     return run
 
 
+def _merged(runs: pd.DataFrame) -> Run:
+    return compact([Run(np.frombuffer(d, f"S{WIDTH}"), np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), np.frombuffer(f, np.uint8)) for d, i, c, f in zip(runs["digests"], runs["ids"], runs["counts"], runs["filter"], strict=True)])
+
+
+def _narrowed(parts: int):
+    def run(runs: pd.DataFrame) -> pd.DataFrame:
+        one = _merged(runs)
+        return pa.Table.from_batches(list(_flushed(one.digests, one.ids, one.counts, parts)), RUN_KIND).to_pandas()
+
+    return run
+
+
 def _compacted(runs: pd.DataFrame) -> pd.DataFrame:
-    one = compact([Run(np.frombuffer(d, f"S{WIDTH}"), np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), np.frombuffer(f, np.uint8)) for d, i, c, f in zip(runs["digests"], runs["ids"], runs["counts"], runs["filter"], strict=True)])
+    one = _merged(runs)
     raw = one.digests.tobytes()
     return pd.DataFrame({"digest": [raw[k : k + WIDTH] for k in range(0, len(raw), WIDTH)], "id": one.ids, "group_size": one.counts})
 
 
-def build_index(rows: DataFrame, memtable: int = MEMTABLE, range_rows: int = RANGE_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, memtable: int = MEMTABLE, range_rows: int = RANGE_ROWS, fanout: int = FANOUT) -> DataFrame:
     """rows (digest binary, id long; the smallest id is preferred) to digest, id, group_size."""
-    parts = max(1, -(-rows.count() // range_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = rows.select("digest", "id").mapInArrow(flush(parts, memtable), "range int, digests binary, ids binary, counts binary, filter binary")
+    n = rows.count()
+    last = max(1, -(-n // range_rows), min(fanout, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(last, fanout)
+    runs = rows.select("digest", "id").mapInArrow(flush(parts, memtable), RUNS)
+    while parts < last:
+        # a range's runs are dealt out so that a task merges about 4 memtables of entries
+        tasks = max(1, -(-n // (parts * 4 * memtable)))
+        finer = min(last, parts * fanout)
+        dealt = runs.withColumn("deal", F.pmod(F.xxhash64("digests"), F.lit(tasks)).cast("int"))
+        runs, parts = dealt.groupBy("range", "deal").applyInPandas(_narrowed(finer), RUNS), finer
     return runs.groupBy("range").applyInPandas(_compacted, "digest binary, id long, group_size long")
 
 
@@ -179,10 +210,13 @@ def assign(docs: DataFrame, keep: str = "min", digest_bytes: int = WIDTH) -> Dat
         less = apart.groupBy("digest").agg(F.sum("n2").alias("less"))
         got = got.join(apart, ["digest", "text_sha256"], "left").join(less, "digest", "left")
         got = got.select("digest", "doc_id", "own", "text_sha256", F.coalesce("id2", "id").alias("id"), F.coalesce("n2", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
-    if repeat:  # of rows that repeat the one that stays, one is kept
-        rest = got.filter((F.col("group_size") > 1) & (F.col("own") == F.col("id")))
-        rest = rest.withColumn("kept", F.row_number().over(Window.partitionBy("text_sha256").orderBy("id")) == 1)
-        out = got.filter((F.col("group_size") == 1) | (F.col("own") != F.col("id"))).withColumn("kept", F.col("group_size") == 1).unionByName(rest)
+    if repeat:  # of rows that repeat the one that stays, one is kept; they are alike in all that is asked for, so it is enough to count them
+        own = ["doc_id", "id", "group_size", "text_sha256"]
+        rest = got.filter((F.col("group_size") > 1) & (F.col("own") == F.col("id"))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        counted = rest.groupBy(*own, "salt").count().withColumn("nth", F.row_number().over(Window.partitionBy("text_sha256").orderBy("salt")))  # SALTS rows a text at most
+        first = (F.col("nth") == 1) & (F.col("copy") == 1)
+        rest = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).select(*own, first.alias("kept"))
+        out = got.filter((F.col("group_size") == 1) | (F.col("own") != F.col("id"))).select(*own, (F.col("group_size") == 1).alias("kept")).unionByName(rest)
     else:
         out = got.withColumn("kept", F.col("own") == F.col("id"))
     keep_id = F.when(F.col("id") != int(LAST), F.col("id") * sign)
@@ -197,11 +231,13 @@ def kept_documents(docs: DataFrame, keep: str = "min", digest_bytes: int = WIDTH
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own_columns)).alias("doc"), digest_of(text, digest_bytes).alias("digest"), F.coalesce(F.col("doc_id").cast("long") * sign, F.lit(int(LAST))).alias("own"))
     got = rows.join(small(hits), "digest", "left")
+    # partial aggregation leaves a row for each task and text, so a group of any size meets nowhere; ties go by the other columns
+    tie = F.xxhash64(*(F.col("doc")[f.name].cast("string") for f in docs.schema.fields if f.dataType.typeName() != "map"))
     if differ:  # digests that several texts share: their rows are told apart by text
         single = got.filter(F.col("group_size").isNull())
-        first = got.filter(F.col("group_size").isNotNull()).withColumn("nth", F.row_number().over(Window.partitionBy("digest", F.coalesce("doc.text", F.lit(""))).orderBy("own"))).filter("nth = 1")
+        first = got.filter(F.col("group_size").isNotNull()).groupBy("digest", F.coalesce("doc.text", F.lit(""))).agg(F.min_by("doc", F.struct("own", tie)).alias("doc"))
         return single.select("doc.*").unionByName(first.select("doc.*"))
     if repeat:
-        first = got.filter(F.col("own") == F.col("id")).withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).filter("nth = 1")
+        first = got.filter(F.col("own") == F.col("id")).groupBy("digest").agg(F.min_by("doc", tie).alias("doc"))
         return got.filter(F.col("group_size").isNull()).select("doc.*").unionByName(first.select("doc.*"))
     return got.filter(F.col("group_size").isNull() | (F.col("own") == F.col("id"))).select("doc.*")
