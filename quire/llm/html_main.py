@@ -1,22 +1,25 @@
 """HTML extraction by removal of a site's template.
 
-Every page is parsed into elements. Subtrees are hashed, Spark counts on how many pages of a host each occurs, and those
-that recur on many of them are template: they are deleted, with what is by its nature no text (scripts, menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments, hidden parts). What is left of the article is the main text;
-pages without an article element give the main element, or else the body.
+Every page is parsed into elements. Subtrees are hashed from their leaves up (element names and text, not attributes, which often
+differ from page to page), Spark counts on how many pages of a host each occurs, and those that recur on many of them are
+template: they are deleted, with what is by its nature no text (scripts, menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, hidden parts). What is left of the article is the main text; pages without an article element give
+the main element, or else the body, where nothing but recurrence tells unmarked template from text.
 
 Copies of a page count as one. Inside an article, blocks of text, lists, tables and what holds them are never deleted for
 recurring (articles do share passages); boxes are. A page that would lose all its text that way keeps it.
 
 Edge cases: null or empty html and pages without text give ''; a null url counts as host ''; unclosed, misnested and cut-off
-markup is read as browsers do in the common cases; a page of any length is read whole. Repeated rows are rows; an empty table
-gives no rows; other columns are ignored, whatever their names.
+markup is read as browsers do in the common cases; a page of any length is read whole, in time linear in its length, however
+deep, unclosed or misnested its markup. Repeated rows are rows; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,8 @@ from quire.llm.url_filter import url_parts
 MIN_PAGES = 5  # of a host that hold a subtree, at least
 MIN_SHARE = 0.1  # and this share of the host's pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Groups of element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,94 +46,121 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tb
 NO_TEXT = frozenset("head script style noscript template nav aside form footer button select option textarea input svg math iframe object embed applet canvas audio video dialog menu map title noembed noframes datalist".split())
 #: An element of the first kind ends an open one of the second, unless one of the third lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 #: Words in a class, id or role that mark what is no part of an article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar sidebars complementary footer contentinfo masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended recommendations search searchbox skip widget widgets toc".split())
 
 
 class Page:
-    """Elements in page order (tag, start, end, parent, marked) and pieces of text with the element they lie in."""
+    """Elements in page order (tag, parent, last: the last element inside, marked) and pieces of text with the element they lie in."""
 
     def __init__(self, text: str):
-        self.source = text
-        self.tags, self.start, self.end, self.parent, self.marked = ["#"], [0], [len(text)], [0], [False]
+        self.tags, self.parent, self.last, self.marked = ["#"], [0], [0], [False]
         self.pieces: list[tuple[int, str | None]] = []  # None: a block begins or ends
-        stack, at, lower = [0], 0, None
-        pos = 0
-        while (m := TOKEN.search(text, pos)) is not None:
-            if m.start() > at:
-                self.pieces.append((stack[-1], text[at : m.start()]))
-            at = pos = m.end()
-            if m[2] is None:
+        self.stack = [0]  # open elements
+        self.open: dict[str, list[int]] = {}  # their places in the stack, by tag
+        self.blocks: list[int] = []  # places of those that aren't inline
+        self.quoted = True
+        at = pos = 0
+        while (lt := text.find("<", pos)) >= 0:
+            two = text[lt + 1 : lt + 3]
+            closing = two[:1] == "/"
+            letter = two[closing : closing + 1]
+            if text.startswith("<!--", lt):
+                end = lt + 5 if text.startswith(">", lt + 4) else text.find("-->", lt + 4) + 3
+                self._piece(text[at:lt])
+                at = pos = len(text) if end < lt + 5 else end
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                if tag in ("br", "p") and not any(self.tags[k] == tag for k in stack):
-                    self.pieces.append((stack[-1], " " if tag == "br" else None))
-                elif any(self.tags[k] == tag for k in stack):
-                    self._close(stack, tag, m.start(), m.end())
-                continue
-            self._imply(stack, tag, m.start())
-            if tag not in INLINE:
-                self.pieces.append((stack[-1], None))
-            elif tag in ("br", "img", "wbr"):
-                if tag == "br":
-                    self.pieces.append((stack[-1], " "))
-                continue
-            if tag in VOID:
-                continue
-            self.tags.append(tag)
-            self.start.append(m.start())
-            self.end.append(len(text))
-            self.parent.append(stack[-1])
-            self.marked.append(bool(m[3]) and is_marked(m[3]))
-            if tag in RAW:
-                lower = text.lower() if lower is None else lower
-                stop = lower.find(f"</{tag}", m.end()) if len(lower) == len(text) else -1
-                if len(lower) != len(text) and (found := re.compile(f"</{tag}", re.I).search(text, m.end())):
-                    stop = found.start()
-                stop = len(text) if stop < 0 else stop
-                close = text.find(">", stop)
-                at = pos = len(text) if close < 0 else close + 1
-                self.end[-1] = at
-            elif not m[3].endswith("/") or tag not in ("svg", "path"):
-                stack.append(len(self.tags) - 1)
-        if at < len(text):
-            rest = text[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the end of the page cuts off
-            self.pieces.append((stack[-1], rest[: cut.start()] if cut else rest))
-
-    def _close(self, stack: list[int], tag: str, start: int, end: int) -> None:
-        """Ends the innermost open element of that tag and all inside it."""
-        while len(stack) > 1:
-            k = stack.pop()
-            own = self.tags[k] == tag
-            self.end[k] = end if own else start
-            if self.tags[k] not in INLINE:
-                self.pieces.append((stack[-1], None))
-            if own:
-                return
-
-    def _imply(self, stack: list[int], tag: str, start: int) -> None:
-        if tag in ENDS_P:
-            for k in reversed(stack[1:]):
-                if self.tags[k] == "p":
-                    self._close(stack, "p", start, start)
-                    break
-                if self.tags[k] not in INLINE:
-                    break
+            if not (letter.isascii() and letter.isalpha()):
+                if two[:1] not in ("!", "?", "/"):
+                    pos = lt + 1  # an ordinary character
+                    continue
+                gt, tag, name_end = text.find(">", lt), None, lt
+            else:
+                tag = NAME.match(text, lt + 1 + closing)
+                name_end = tag.end()
+                tag = tag[0].lower()
+                gt = self._tag_end(text, name_end)
+            self._piece(text[at:lt])
+            if gt < 0:  # the end of the page cuts it off
+                at = len(text)
+                break
+            at = pos = gt + 1
+            if tag and closing:
+                self._end_tag(tag)
+            elif tag and self._start_tag(tag, text[name_end:gt]):
+                found = RAW_END[tag].search(text, pos)
+                stop = text.find(">", found.start()) if found else -1
+                at = pos = len(text) if stop < 0 else stop + 1
+        self._piece(text[at:])
+        while len(self.stack) > 1:
+            self._pop()
+        self.last[0] = len(self.tags) - 1
+
+    def _tag_end(self, text: str, pos: int) -> int:
+        """Where the tag ends: the first `>` outside a quoted value; once a page's quotes don't match, the first one at all."""
+        at = pos
+        while self.quoted:
+            m = QUOTE_OR_END.search(text, at)
+            if m and not m[1]:
+                return m.start()
+            at = text.find(m[1], m.end()) + 1 if m else 0
+            self.quoted = at > 0
+        return text.find(">", pos)
+
+    def _piece(self, text: str) -> None:
+        if text:
+            self.pieces.append((self.stack[-1], text))
+
+    def _start_tag(self, tag: str, attributes: str) -> bool:
+        """Opens an element; whether what follows is raw text."""
+        if tag in ENDS_P and self.blocks and self.tags[self.stack[self.blocks[-1]]] == "p":
+            self._close("p")
         if tag in ENDS:
             ended, between = ENDS[tag]
-            while any(True for _ in stack[1:]):
-                hit = None
-                for k in reversed(stack[1:]):
-                    if self.tags[k] in between:
-                        break
-                    if self.tags[k] in ended:
-                        hit = self.tags[k]
-                        break
-                if hit is None:
-                    return
-                self._close(stack, hit, start, start)
+            while (hit := self._innermost(ended)) > self._innermost(between):
+                self._close(self.tags[self.stack[hit]])
+        if tag not in INLINE:
+            self.pieces.append((self.stack[-1], None))
+        elif tag == "br":
+            self.pieces.append((self.stack[-1], " "))
+        if tag in VOID:
+            return False
+        self.tags.append(tag)
+        self.parent.append(self.stack[-1])
+        self.last.append(len(self.tags) - 1)
+        self.marked.append(bool(attributes) and is_marked(attributes))
+        if tag in RAW:
+            return True
+        if not (attributes.endswith("/") and tag in ("svg", "path")):
+            self.open.setdefault(tag, []).append(len(self.stack))
+            if tag not in INLINE:
+                self.blocks.append(len(self.stack))
+            self.stack.append(len(self.tags) - 1)
+        return False
+
+    def _innermost(self, tags: set[str]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def _end_tag(self, tag: str) -> None:
+        if self.open.get(tag):
+            self._close(tag)
+        elif tag in ("br", "p"):
+            self.pieces.append((self.stack[-1], " " if tag == "br" else None))
+
+    def _close(self, tag: str) -> None:
+        """Ends the innermost open element of that tag and all inside it."""
+        place = self.open[tag][-1]
+        while len(self.stack) > place:
+            self._pop()
+
+    def _pop(self) -> None:
+        k = self.stack.pop()
+        self.open[self.tags[k]].pop()
+        self.last[k] = len(self.tags) - 1
+        if self.tags[k] not in INLINE:
+            self.blocks.pop()
+            self.pieces.append((self.stack[-1], None))
 
     def roots(self) -> list[bool]:
         """For each element, whether it is in the main part: the articles, else main elements, else all."""
@@ -147,36 +178,38 @@ class Page:
         return [True] * n
 
     def hashes(self, inside: list[bool]) -> dict[int, int]:
-        """Hashes of the subtrees that may be template: blocks outside the article, and inside it boxes that aren't blocks of text. Elements around the article are not."""
-        whole = all(inside)
-        around = set()
-        for k in range(1, len(self.tags)):
-            if inside[k] and not whole:
-                p = self.parent[k]
-                while p and p not in around:
-                    if not inside[p]:
-                        around.add(p)
-                    p = self.parent[p]
-        out = {}
+        """Hashes of the subtrees that may be template and have text: blocks outside the article, and inside it boxes that aren't blocks of text. Elements around the article are not."""
+        n, whole = len(self.tags), all(inside)
         holds = [tag in TEXT_BLOCKS for tag in self.tags]
-        for k in range(len(self.tags) - 1, 0, -1):
-            holds[self.parent[k]] |= holds[k]
-        for k in range(1, len(self.tags)):
-            tag = self.tags[k]
-            if k in around or tag in INLINE or tag in ("html", "body", "head", "article", "main") or (inside[k] and not whole and holds[k]):
+        around = list(inside)
+        parts: list[list[bytes]] = [[] for _ in range(n)]
+        for k, piece in self.pieces:
+            if piece and (words := piece.split()):
+                parts[k].append(xxhash.xxh3_64_digest(" ".join(words)))
+        out = {}
+        for k in range(n - 1, 0, -1):  # whatever lies inside an element comes after it
+            tag, up = self.tags[k], self.parent[k]
+            holds[up] |= holds[k]
+            around[up] |= around[k]
+            if not parts[k]:
                 continue
-            out[k] = xxhash.xxh3_64_intdigest(self.source[self.start[k] : self.end[k]]) >> 1
+            digest = xxhash.xxh3_64_digest(f"{tag}>".encode("utf-8", "replace") + b"".join(parts[k]))
+            parts[up].append(digest)
+            exempt = tag in INLINE or tag in ("html", "body", "head", "article", "main")
+            if not exempt and (whole or not (holds[k] if inside[k] else around[k])):
+                out[k] = int.from_bytes(digest, "big") >> 1
         return out
 
     def text(self, recurring: frozenset[int] | set[int]) -> str:
         inside = self.roots()
         doomed = {k for k, h in self.hashes(inside).items() if h in recurring} if recurring else ()
         n, whole = len(self.tags), all(inside)
+        titles = [k for k in range(n) if self.tags[k] == "h1"]
         gone = [False] * n
         for k in range(1, n):
             tag = self.tags[k]
             main = tag in ("article", "main", "body", "html") and not (self.marked[k] and tag in ("article", "main"))
-            gone[k] = gone[self.parent[k]] and not (inside[k] and not inside[self.parent[k]]) or (not main and (tag in NO_TEXT or self.marked[k] or (tag == "header" and (whole or not self._has_title(k))))) or k in doomed
+            gone[k] = gone[self.parent[k]] and not (inside[k] and not inside[self.parent[k]]) or (not main and (tag in NO_TEXT or self.marked[k] or (tag == "header" and (whole or not holds_one(titles, k, self.last[k]))))) or k in doomed
         blocks, held = [], []
         for k, piece in self.pieces:
             if piece is None:
@@ -189,8 +222,11 @@ class Page:
         text = "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
         return text if text or not doomed else self.text(frozenset())
 
-    def _has_title(self, k: int) -> bool:
-        return any(self.tags[j] == "h1" for j in range(k + 1, len(self.tags)) if self.start[j] < self.end[k])
+
+def holds_one(places: list[int], k: int, last: int) -> bool:
+    """Whether one of the sorted places is beyond k and not beyond last."""
+    at = bisect_right(places, k)
+    return at < len(places) and places[at] <= last
 
 
 def is_marked(attributes: str) -> bool:
