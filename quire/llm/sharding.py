@@ -21,7 +21,8 @@ from quire.llm.common import small, written
 LIMIT_BYTES = 1 << 20
 BITS = 60
 SPARE_BITS = 4  # of the first histogram, beyond what even buckets need
-STEP_BITS = 12  # of each deeper one
+STEP_BITS = 4  # of each deeper one
+SALTS = 1024  # parts of a chain that are numbered apart
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -31,39 +32,52 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.conv(F.substring(F.md5(of), 1, 15), 16, 10).cast("long").alias("h"))
 
 
-def directory(rows: DataFrame, limit: int) -> list[tuple[int, int, DataFrame]]:
-    """[(from_bits, bits, entries)]: entries hold slot (prefix of that many bits), depth, bucket_bytes, alone (one hash only)."""
+def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """[(bits, entries)]: entries hold slot (prefix of that many bits), depth, bucket_bytes, alone (one hash only).
+
+    A bucket is a prefix that fits while the one a bit shorter doesn't; so each prefix's bytes are summed, and siblings meet to
+    see whether their parent fits. Nothing is joined, and rows are counted in partial sums, so no prefix is hot.
+    """
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits, low, left, out = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS), 0, None, []
+    fits = (F.col("b") <= limit) | (F.col("lo") == F.col("hi"))
     while True:
         mine = rows if left is None else rows.join(small(left), F.shiftright("h", BITS - low) == F.col("over"), "left_semi")
-        slots = mine.groupBy(F.shiftright("h", BITS - bits).alias("slot")).agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        slots = written(slots, "shard-slots")
+        slots = written(mine.groupBy(F.shiftright("h", BITS - bits).alias("slot")).agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi")), "shard-slots")
         # below `low` the bucket is known to overflow
-        spread = slots.withColumn("depth", F.explode(F.sequence(F.lit(low + 1 if left is not None else 0), F.lit(bits)))).withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
-        nodes = spread.groupBy("depth", "prefix").agg(F.sum("b").alias("bucket_bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        fits = nodes.filter((F.col("bucket_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "prefix", "bucket_bytes", (F.col("lo") == F.col("hi")).alias("alone"))
-        first = spread.select("slot", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min(F.struct("depth", "bucket_bytes", "alone")).alias("leaf"))
-        entries = written(first.select("slot", "leaf.depth", "leaf.bucket_bytes", "leaf.alone"), "shard-directory")
-        out.append((low, bits, entries))
-        left = slots.join(entries, "slot", "left_anti").select(F.col("slot").alias("over"))
+        first = 0 if left is None else low + 1
+        spread = slots.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(bits)))).withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
+        nodes = spread.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        nodes = written(nodes, "shard-nodes")
+        family = nodes.groupBy("depth", F.shiftright("prefix", 1).alias("up")).agg(F.collect_list(F.struct("prefix", "b", "lo", "hi")).alias("kids"), F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        split = family.filter(~fits | (F.col("depth") == first)).select("depth", F.inline("kids"))  # two siblings at most
+        leaves = split.filter(fits).select("depth", "prefix", F.col("b").alias("bucket_bytes"), (F.col("lo") == F.col("hi")).alias("alone"))
+        start = F.expr(f"shiftleft(prefix, {bits} - depth)")
+        wide = F.expr(f"shiftleft(1L, {bits} - depth)")
+        entries = leaves.select(F.explode(F.sequence(start, start + wide - 1)).alias("slot"), "depth", "bucket_bytes", "alone")
+        out.append((bits, written(entries, "shard-directory")))
+        left = nodes.filter((F.col("depth") == bits) & ~fits).select(F.col("prefix").alias("over"))
         if bits >= BITS or left.isEmpty():
             return out
-        left = written(left, "shard-overflow")
         low, bits = bits, min(BITS, bits + STEP_BITS)
 
 
 def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """doc_id, n_bytes, depth, prefix, page, shard_bytes: shard (depth, prefix, page) of every document, and the bytes in it."""
-    rows = written(hashed(docs), "shard-rows")
+    rows = written(hashed(docs).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "shard-rows")
     out = None
-    for _, bits, entries in directory(rows, limit):
+    for bits, entries in directory(rows, limit):
         got = rows.withColumn("slot", F.shiftright("h", BITS - bits)).join(small(entries), "slot").drop("slot")
         out = got if out is None else out.unionByName(got)
     out = out.withColumn("prefix", F.expr(f"CASE WHEN depth = 0 THEN 0L ELSE shiftright(h, {BITS} - depth) END"))
     chained = F.col("alone") & (F.col("bucket_bytes") > limit)
     plain = out.filter(~chained).select("doc_id", "n_bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"), F.col("bucket_bytes").alias("shard_bytes"))
+    # rows of a chain are alike, so any numbering will do: within each salt, after the rows of the salts before it
+    over = out.filter(chained)
+    per = over.groupBy("h", "salt").count()
+    before = per.select("h", "salt", F.coalesce(F.sum("count").over(Window.partitionBy("h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("h", "salt").orderBy("doc_id")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes")))
-    pages = out.filter(chained).withColumn("room", room).withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")) - 1).withColumn("page", F.floor(F.col("nth") / F.col("room")))
+    pages = over.withColumn("nth", nth).join(before, ["h", "salt"]).withColumn("room", room).withColumn("page", F.floor((F.col("nth") + F.col("before")) / F.col("room")))
     in_page = F.least(F.col("room"), F.floor(F.col("bucket_bytes") / F.col("n_bytes")) - F.col("page") * F.col("room")) * F.col("n_bytes")
     return plain.unionByName(pages.select("doc_id", "n_bytes", "depth", "prefix", "page", in_page.alias("shard_bytes")))
