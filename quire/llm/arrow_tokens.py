@@ -5,8 +5,9 @@ slice of a memory-mapped buffer. The ids of all documents run on through the seq
 padded (mask false). Beside each file lies an index of its documents: doc_id, start within the file, n_tokens. Files follow
 one another in ascending doc_id order and hold whole documents.
 
-Spark deals the texts out by ranges of doc_id; each task sorts, encodes and writes one file under a name of its own attempt and
-then moves it into place, so a lost executor or a second attempt leaves one whole file. Folders are reached by URI.
+Spark deals the texts out by ranges of doc_id, as many as their bytes ask for; each task sorts, encodes and writes one file under a
+name of its own attempt and then moves it into place, so a lost executor or a second attempt leaves one whole file. Rows alike
+in id and text are told apart by where they come from, so many of them fill several files. Folders are reached by URI.
 
 Edge cases: null and empty texts have only the end id; a null doc_id comes first; equal doc_ids lie side by side, by text;
 an empty table gives no documents; one document may be longer than a sequence, a batch or a block; other columns are ignored.
@@ -30,6 +31,8 @@ from quire.llm.common import fresh_path, held
 
 SEQUENCE = 2048
 SEQUENCES = 256  # of a record batch
+FILE_BYTES = 4 << 20, 128 << 20  # text of a file: at least where there is that much, at most but for one longer document
+FILES_A_CORE = 8  # between those bounds
 CACHE = 900_000  # words that a worker remembers
 BLOCK_CHARS = 1_500_000
 
@@ -169,9 +172,16 @@ class SequenceWriter:
         self.out.close()
 
 
+def file_count(docs: DataFrame) -> int:
+    """By the bytes of the texts: a task's work has the same bound at every size."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least, most = FILE_BYTES
+    return max(1, -(-n // max(least, min(most, n // (FILES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)))))
+
+
 def write(docs: DataFrame, uri: str, path: str, end_id: int, sequence: int = SEQUENCE, sequences: int = SEQUENCES, files: int | None = None) -> list[tuple[int, int, int]]:
     """Writes the files; returns (file, documents, ids) of each that isn't empty, in order: one small row a file."""
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or file_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, where, (fs, root) = encoder(path), TaskContext.get(), file_system(uri)
@@ -203,7 +213,8 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int, sequence: int = SEQ
                 fs.move(f"{n}.{attempt}", n)
 
     text = F.col("text")
-    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    sorted_ = placed.repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
     told = sorted_.select("doc_id", "text").mapInArrow(run, "file long, n_docs long, n_ids long").groupBy("file").agg(F.sum("n_docs"), F.sum("n_ids"))
     return sorted((r[0], r[1], r[2]) for r in told.collect())
 
@@ -231,7 +242,7 @@ def read(spark, uri: str, files: list[tuple[int, int, int]]) -> DataFrame:
                 yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
     given = spark.createDataFrame(rows or [(0, 0)], "file long, base long").filter(F.lit(bool(rows)))
-    dealt = given.repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    dealt = given.repartition(max(1, len(rows)))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
