@@ -5,7 +5,9 @@ the prefix (longest first, from an automaton over all tokens) by testing whether
 of the shorter prefix. Following the stored tokens backwards from the end of the word gives the ids. The work is linear in the
 word, needs no queue of merges, and here runs over thousands of different words at once, as numpy columns.
 
-Texts are cut at white space; each different piece of a block of texts is encoded once and kept in a cache of bounded size.
+Texts are cut at white space; each different piece of a block of texts is encoded once and kept in a cache of bounded size. A text
+that isn't in normal form C, or has code points that this Python's character tables don't know, is normalised and cut by the file's
+own normaliser and pre-tokenizer instead, whose tables are of another version; its pieces are encoded like all others.
 
 Edge cases: null and empty texts have no ids and decode to ''; texts of any length are encoded whole, in blocks; ids of the
 added tokens are emitted where their strings stand in a text, as the tokenizers library does. Repeated rows give repeated rows;
@@ -90,6 +92,8 @@ class Codec:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
+        self.path, self.letters, self.library = path, byte_of, None
+        self.assigned: set[str] = set()  # characters met so far that unicodedata has a category for
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -215,16 +219,15 @@ class Codec:
         return [row[k - 1 :: -1] for row, k in zip(back[:, :step].tolist(), n.tolist(), strict=True)]
 
     def _pieces(self, text: str) -> list[str]:
-        """White-space-free strings whose encodings, one after the other, are the text's. Added tokens are pieces of their own."""
+        """Strings whose encodings, one after the other, are the text's: free of white space, but for a leading space before an added token and a leading tab before a whole piece."""
         if self.added_cut and any(a in text for a in self.added):
-            return [w for k, part in enumerate(self.added_cut.split(text)) for w in ([part] if k % 2 else self._plain(part))]
+            return [w for k, part in enumerate(self.added_cut.split(text)) for w in ([" " + part] if k % 2 else self._plain(part))]
         return self._plain(text)
 
-    @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+            if not unicodedata.is_normalized("NFC", text) or self._has_unassigned(text):
+                return self._cut_by_library(text)
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # a final sigma isn't told apart
         else:
             text = text.lower()
@@ -232,6 +235,22 @@ class Codec:
             return regex.findall(r"(?:[^\s]|[\x1c-\x1f])+", text)
         return text.split()
 
+    def _has_unassigned(self, text: str) -> bool:
+        """Whether some code point is without a category in unicodedata. Of texts in normal form, the tokenizer may cut only these otherwise."""
+        for c in set(text).difference(self.assigned):
+            if unicodedata.category(c) == "Cn":
+                return True
+            self.assigned.add(c)
+        return False
+
+    def _cut_by_library(self, text: str) -> list[str]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return ["\t" + bytes(map(self.letters.__getitem__, piece)).decode() for piece, _ in found]
+
     def _learn(self, words: set[str]) -> None:
         """Encodes the words that aren't known yet, all at once."""
         words.difference_update(self.words)
@@ -241,12 +260,13 @@ class Codec:
         own = self.pieces
         if len(own) > CACHE:
             own.clear()
-        parts = {w: (w,) if w.isalpha() or w in self.added else PIECE.findall(w) for w in words}
+        parts = {w: (w,) if w.isalpha() or w[0] == " " else (w[1:],) if w[0] == "\t" else PIECE.findall(w) for w in words}
+        for w in words:
+            if w[0] == " ":
+                own[w] = self._spelled([self.added[w[1:]]])
         todo = list({p for ps in parts.values() for p in ps}.difference(own))
         for p, ids in zip(todo, self.encode_words([p.encode() for p in todo]) if todo else [], strict=True):
             own[p] = self._spelled(ids)
-        for a, i in self.added.items():
-            own[a] = self._spelled([i])
         for w, ps in parts.items():
             if len(ps) == 1:
                 self.words[w] = own[ps[0]]
