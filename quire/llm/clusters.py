@@ -1,8 +1,10 @@
 """Linking at scale, shared by the near-duplicate operators.
 
 Buckets give star edges to one leader each; a cheap test with slack removes accidental ones; components of the rest are coarse
-clusters. Mates of a bucket that this leaves in different clusters are tested with each other, all of them. The exact test then runs inside every cluster, on whole rows that were shipped there once. A cluster
-above the block weight is dealt out as pairs of blocks, so that no task ever holds more than two blocks.
+clusters. Mates of a bucket that this leaves in different clusters are tested with each other, all of them. The exact test then
+runs inside every cluster, on whole rows that were shipped there once. A cluster above the block weight is dealt out as pairs of
+blocks, so that no task ever holds more than two blocks; where only components are asked for, one side of the pairs needs only
+the rows that aren't yet known to be with the cluster's largest component.
 """
 
 from __future__ import annotations
@@ -18,6 +20,21 @@ from quire.llm.common import release, small, written
 
 MATES = 4096  # members of a block of a bucket
 
+
+def apart(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows and classes (written tables with node and check, 128 bits together) such that different classes have different nodes: where several share the first 64 bits, all 128 make new ones."""
+    while True:
+        clash = written(classes.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("clash")), "node-clashes")
+        if clash.isEmpty():
+            return rows, classes
+
+        def renamed(df: DataFrame) -> DataFrame:
+            node = F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+            return written(df.join(small(clash), "node", "left").withColumn("node", node).select(df.columns), "node-renamed")  # noqa: B023
+
+        rows, classes = renamed(rows), renamed(classes)
+
+
 def coarse_clusters(members: DataFrame, tested: Callable[[DataFrame], DataFrame], values: DataFrame, near: Callable, block: int = MATES) -> DataFrame:
     """(node, root) of coarse clusters: no pair of bucket mates is left that is neither in one cluster nor tested. members: (key, node: long).
 
@@ -93,6 +110,17 @@ def block_pairs(nodes: DataFrame, block_weight: int) -> DataFrame:
     return got.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
 
+def open_pairs(nodes: DataFrame, block_weight: int) -> DataFrame:
+    """nodes (root, node, weight, open) to the same with i, j, blocks: pairs of a block of the cluster's open rows and a block of all its rows. Clusters without open rows give none."""
+    sums = nodes.groupBy("root").agg(F.sum("weight").alias("w"), F.sum(F.when(F.col("open"), F.col("weight"))).alias("o")).filter("o is not null")
+    sums = written(sums.select("root", F.ceil(F.col("w") / block_weight).cast("int").alias("blocks"), F.ceil(F.col("o") / block_weight).cast("int").alias("asking")), "open-sizes")
+    got = nodes.join(small(sums), "root")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    asked = got.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("asking") - 1)), "j": own})
+    asking = got.filter("open").withColumns({"i": F.pmod(F.xxhash64("node", F.lit(4)), F.col("asking")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return asked.unionByName(asking).drop("asking")
+
+
 def by_group(rows: DataFrame, keys: list[str], solve: Callable[[list[pa.Table]], Iterator[pa.RecordBatch]] | Callable, schema: str) -> DataFrame:
     """solve(table of one group) -> RecordBatch or None, over rows dealt and sorted by keys; many groups share a task, so small ones cost little."""
 

@@ -7,7 +7,9 @@ with each other; in the clusters that this gives, whole texts are cut into full
 A row counts as linked if the sets' intersection is at least 80 % of their union.
 
 Within a cluster only rows that aren't yet connected with the first, most typical one are compared with all others: every link
-that could still join two components is examined, and links inside a component change nothing.
+that could still join two components is examined, and links inside a component change nothing. A cluster above the block size
+does the same in Spark: hubs are compared with all its rows, one row at a time, and only rows that no hub connects with the
+largest component are dealt out against all others. So a group of near copies of any size costs a few passes over it.
 
 Edge cases: null and empty texts and texts without words have an empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; texts of any length are used whole. Repeated rows belong to one class; a
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.clusters import block_pairs, by_group, coarse_clusters, joined_roots
+from quire.llm.clusters import apart, by_group, coarse_clusters, components, open_pairs
 from quire.llm.common import release, small, written
 
 WIDTH = 5  # words of a shingle
@@ -34,6 +36,7 @@ BANDS = 36
 ROWS = 7  # values of a band
 SLACK = 0.55  # estimated similarity of a band's mates
 BLOCK = 4_000_000  # bytes of text of a block
+HUBS = 3  # rows of a cluster above a block that are compared with all others first
 WORDS = 150_000  # words whose hash a worker remembers
 SEED = 7
 LAST = np.iinfo(np.int64).max
@@ -95,7 +98,7 @@ class Hasher:
         return (key * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(self.bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :]
 
 
-def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+def _signed(docs: DataFrame, width: int, bands: int, rows: int, node_bits: int = 64) -> DataFrame:
     """doc_id, th (hash of the text), n_bytes, n_shingles, node and check (128 bits of the set; null without words), keys (bands), sketch (a byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     got = own.shingles(tokens(text))
                     sizes.append(len(got))
                     raw = xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None
-                    nodes.append(int.from_bytes(raw[:8], "little", signed=True) if raw else None)
+                    nodes.append(int.from_bytes(raw[:8], "little", signed=True) >> 64 - node_bits if raw else None)
                     checks.append(int.from_bytes(raw[8:], "little", signed=True) if raw else None)
                     marks.append(own.signature(got) if len(got) else np.zeros(bands * rows, np.uint32))
                 marks = np.array(marks)
@@ -208,34 +211,84 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _solved(width: int, percent: int):
     def solve(table: pa.Table) -> pa.RecordBatch | None:
-        if table.num_rows < 2:
+        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        if len(nodes) < 2:
             return None
-        table = table.sort_by("node")
-        nodes = table.column("node").to_numpy()
-        root = exact_links(full_sets(table.column("text").to_pylist(), width), percent)
-        has = np.isin(root, np.flatnonzero(np.bincount(root, minlength=len(nodes)) > 1))
-        if not has.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[root[has]]), table.column("blocks").combine_chunks().filter(pa.array(has))], names=["node", "root", "blocks"])
+        root = exact_links(full_sets(table.column("text").take(pa.array(at)).to_pylist(), width), percent)
+        linked = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], names=["a", "b"]) if linked.any() else None
 
     return solve
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+def _shingled(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    words = tokens(text)
+    return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+
+
+def _hub_links(rows: DataFrame, hubs: DataFrame, width: int, percent: int) -> DataFrame:
+    """root, hub, node of the rows (root, node, text) that are linked with their cluster's hub (root, hub, hub_text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last, own = None, set()
+        for batch in batches:
+            hit = []
+            for node, text, hub, hub_text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                if hub != last:
+                    last, own = hub, _shingled(hub_text, width)
+                other = _shingled(text, width)
+                both = len(own & other)
+                hit.append(node != hub and 100 * both >= percent * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1)], names=["root", "hub", "node"]).filter(pa.array(hit, pa.bool_()))
+
+    return rows.join(hubs, "root").select("root", "node", "text", "hub", "hub_text").mapInArrow(run, "root long, hub long, node long")
+
+
+def _large_clusters(rows: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Edges (a, b) that make the components of clusters (root, node, text, weight) above a block."""
+    edges, with_hub = None, None  # with_hub: (root, node) of the rows known to be in the first hub's component
+    for k in range(HUBS):
+        left = rows if with_hub is None else rows.join(with_hub, ["root", "node"], "left_anti")
+        hubs = left.groupBy("root").agg(F.min_by(F.struct("node", "text"), F.xxhash64("node", F.lit(k))).alias("one"))
+        hubs = written(hubs.select("root", F.col("one.node").alias("hub"), F.col("one.text").alias("hub_text")), "minhash-hubs")  # joined as a table, a cluster with many rows can be split
+        found = written(_hub_links(rows, hubs, width, percent), "minhash-hub-links")
+        edges = found if edges is None else edges.unionByName(found)
+        star = found.select("root", "node").unionByName(hubs.select("root", F.col("hub").alias("node")))
+        if with_hub is not None:  # another hub's rows count where one of them is among those of the first
+            met = written(star.join(with_hub, ["root", "node"], "left_semi").select("root").distinct(), "minhash-met")
+            star = with_hub.unionByName(star.join(small(met), "root", "left_semi")).distinct()
+        with_hub = written(star, "minhash-with-hub")
+    rest = rows.join(with_hub.withColumn("known", F.lit(True)), ["root", "node"], "left").withColumn("open", F.col("known").isNull()).drop("known")
+    dealt = open_pairs(rest, block).select("root", "i", "j", "node", "text")
+    more = by_group(dealt, ["root", "i", "j"], _solved(width, percent), "a long, b long")
+    return edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(more)
+
+
+def _linked(fetched: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(node, root) of components: fetched (root, node, text, weight) are whole texts in coarse clusters."""
+    size = fetched.groupBy("root").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter("n > 1")
+    size = written(size.select("root", (F.col("w") > block).alias("large")), "minhash-sizes")
+    sized = fetched.join(small(size), "root")
+    edges = by_group(sized.filter(~F.col("large")).select("root", "node", "text"), ["root"], _solved(width, percent), "a long, b long")
+    if not size.filter("large").isEmpty():
+        edges = edges.unionByName(_large_clusters(written(sized.filter("large").drop("large"), "minhash-large"), width, percent, block))
+    return components(edges)
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, block: int = BLOCK, node_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and th (a hash of the text) for every document."""
-    signed = written(_signed(docs, width, bands, rows), "minhash-signed")
+    signed = written(_signed(docs, width, bands, rows, node_bits), "minhash-signed")
     full = signed.filter(F.col("node").isNotNull())
     reps = full.groupBy("node", "check").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), "th")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select("node", "one.doc_id", "one.th", "keys", "sketch").dropDuplicates(["node"]), "minhash-classes")
+    reps = written(reps.select("node", "check", "one.doc_id", "one.th", "keys", "sketch"), "minhash-classes")
+    signed, reps = apart(signed.select("doc_id", "th", "n_shingles", "node", "check"), reps)
     members, values = reps.select("node", F.explode("keys").alias("key")), reps.select("node", F.col("sketch").alias("value"))
     coarse = coarse_clusters(members, lambda pairs: _similar(pairs, reps, slack), values, _mates_similar(slack))
     wanted = written(coarse.join(reps.select("node", "doc_id", "th"), "node"), "minhash-wanted")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     fetched = text.join(small(wanted), ["doc_id", "th"]).dropDuplicates(["node"]).select("root", "node", "text", F.octet_length("text").alias("weight"))
-    fetched = written(fetched, "minhash-texts")
-    dealt = block_pairs(fetched, block).select("root", "i", "j", "node", "blocks", "text")
-    local = by_group(dealt, ["root", "i", "j"], _solved(width, percent), "node long, root long, blocks int")
-    roots = joined_roots(local.distinct())
+    roots = _linked(written(fetched, "minhash-texts"), width, percent, block)
     named = roots.join(reps.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
     found = written(reps.select("node", "doc_id").join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("component", "doc_id").alias("component")), "minhash-result")
     out = signed.select("doc_id", "th", "n_shingles", "node").join(small(found), "node", "left")
