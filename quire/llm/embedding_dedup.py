@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.clusters import block_pairs, by_group, coarse_clusters, joined_roots, local_roots
+from quire.llm.clusters import apart, block_pairs, by_group, coarse_clusters, joined_roots, local_roots
 from quire.llm.common import small, written
 
 COSINE = 0.93
@@ -86,25 +86,28 @@ def _unit(column: pa.ListArray) -> list[np.ndarray | None]:
     return out
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, node (null: links with nothing), unit (doubles as bytes)."""
+def _classes(vectors: DataFrame, node_bits: int = 64) -> DataFrame:
+    """vec_id, node and check (128 bits of label and vector; null: links with nothing), unit (doubles as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-            nodes, units = [], []
+            nodes, checks, units = [], [], []
             for v, label, own, raw in zip(_unit(batch.column(1)), labels, ids, batch.column(1).to_pylist(), strict=True):
                 if v is None or label is None or own is None:
                     nodes.append(None)
+                    checks.append(None)
                     units.append(None)
                 else:
                     exact = (np.array(raw, np.float64) + 0.0).tobytes()
-                    nodes.append(int.from_bytes(hashlib.blake2b(f"{label}|".encode() + exact, digest_size=8).digest(), "little", signed=True))
+                    digest = hashlib.blake2b(f"{label}|".encode() + exact, digest_size=16).digest()
+                    nodes.append(int.from_bytes(digest[:8], "little", signed=True) >> 64 - node_bits)
+                    checks.append(int.from_bytes(digest[8:], "little", signed=True))
                     units.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(2), pa.array(units, pa.binary())], names=["vec_id", "node", "label", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), batch.column(2), pa.array(units, pa.binary())], names=["vec_id", "node", "check", "label", "unit"])
 
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
-    return given.mapInArrow(run, "vec_id long, node long, label string, unit binary")
+    return given.mapInArrow(run, "vec_id long, node long, check long, label string, unit binary")
 
 
 def _members(classes: DataFrame, **how) -> DataFrame:
@@ -183,13 +186,14 @@ def _linked(cosine: float):
     return solve
 
 
-def dedup(vectors: DataFrame, cosine: float = COSINE, slack: float = SLACK, block: int = BLOCK, **how) -> DataFrame:
+def dedup(vectors: DataFrame, cosine: float = COSINE, slack: float = SLACK, block: int = BLOCK, node_bits: int = 64, **how) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
-    rows = written(_classes(vectors), "vectors")
-    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("label").alias("label"), F.min("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
-    classes = written(classes, "vector-classes")
+    rows = written(_classes(vectors, node_bits), "vectors")
+    classes = rows.filter(F.col("node").isNotNull()).groupBy("node", "check").agg(F.min("label").alias("label"), F.min("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    rows, classes = apart(rows.select("vec_id", "node", "check"), written(classes, "vector-classes"))
     values = classes.select("node", F.col("unit").alias("value"))
-    coarse = coarse_clusters(_members(classes, **how), lambda pairs: _near(pairs, classes, slack), values, _mates_near(cosine))
+    members = written(_members(classes, **how), "vector-buckets")  # read twice, hashed once
+    coarse = coarse_clusters(members, lambda pairs: _near(pairs, classes, slack), values, _mates_near(cosine))
     nodes = coarse.join(classes, "node").select("root", "node", "unit", "copies", F.lit(1).alias("weight"))
     dealt = block_pairs(nodes, block).select("root", "i", "j", "node", "block", "blocks", "copies", "unit")
     local = written(by_group(dealt, ["root", "i", "j"], _linked(cosine), "node long, root long, links long, blocks int"), "vector-links")
