@@ -120,9 +120,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, with docs' own columns."""
-    measured = written(_measured(docs, seed), "mix-measured")
-    sources = plan(measured, weights, share, max_epochs)
-    own = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.col("source").alias("source"), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))).otherwise(F.lit(1)).alias("size"), seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("h"))
+    sources = plan(written(_measured(docs, seed), "mix-measured"), weights, share, max_epochs)
+    has_words = F.coalesce("text", F.lit("")).rlike(WORD)  # copies depend on the size only by whether it is 0
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("source").alias("source"), has_words.cast("long").alias("size"), seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("h"))
     taken = _with_copies(rows, sources).filter(F.col("copies") > 0)
     return taken.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
