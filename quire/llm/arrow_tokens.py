@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark import TaskContext
@@ -28,13 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import fresh_path, held
+from quire.llm.words import WordTable, in_blocks, oddly_spaced
 
 SEQUENCE = 2048
 SEQUENCES = 256  # of a record batch
 FILE_BYTES = 4 << 20, 128 << 20  # text of a file: at least where there is that much, at most but for one longer document
 FILES_A_CORE = 8  # between those bounds
-CACHE = 900_000  # words that a worker remembers
-BLOCK_CHARS = 1_500_000
+CACHE = 1_500_000  # words that a worker remembers, some 40 bytes each
+BLOCK_BYTES = 8_000_000  # of the texts that are encoded together
+
+
+#: Letters after which marks surely begin a piece of the pre-tokenizer, and marks that are one piece up to white space.
+LETTERS = frozenset(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7))
+MARKS = ".,;:!?|*#%&$"
 
 
 class Encoder:
@@ -42,8 +49,12 @@ class Encoder:
 
     A text that has only single spaces and line feeds between its words splits there without changing its ids: white space
     ends a piece of the pre-tokenizer, one space belongs to the word after it, one line feed is a piece of its own. All other
-    texts, and those with an added token's string, are encoded as a whole. New words are encoded many to a call, a space
-    before each; a token that begins with a space then begins a word.
+    texts, and those with an added token's string, are encoded as a whole. A block's texts are cut and their words numbered by
+    Arrow; the ids come by number from one table of all words met. New words are encoded many to a call, a space before each; a
+    token that begins with a space then begins a word.
+
+    In the table a word after a space stands as it is, the first word of a text after a carriage return, and the first word of
+    another line after a line feed, whose id is then the first.
     """
 
     def __init__(self, path: str):
@@ -57,12 +68,11 @@ class Encoder:
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.begins = np.zeros(1 << 8 * self.kind().itemsize if self.kind is np.uint16 else size, bool)
+        self.begins = np.zeros(1 << 16 if self.kind is np.uint16 else size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.begins[i] = token.startswith(space)
-        self.spaced: dict[str, bytes] = {}  # ids of a word after a space
-        self.first: dict[str, bytes] = {}  # and of a word after none
         self.line = self._encode(["\n"])[0]
+        self.table = WordTable(1, CACHE)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,55 +88,41 @@ class Encoder:
             out += [flat[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(flat)], strict=True)]
         return out
 
-    def _learn(self, words: set[str], heads: set[str]) -> None:
-        known = self.spaced
-        if len(known) > CACHE:
-            self.spaced = known = {w: known[w] for w in words & known.keys()}
-        parts, todo = {}, set()
-        for w in words.difference(known):
-            core = w.rstrip(".,;:!?|*#%&$")
-            if core.isalpha() and len(core) != len(w):  # letters and the marks after them are pieces of their own
-                parts[w] = core, w[len(core) :]
-                if core not in known:
-                    todo.add(core)
-            else:
-                todo.add(w)
-        todo = list(todo)
-        known.update(zip(todo, self._spaced(todo), strict=True))
-        marks = list({m for _, m in parts.values()})
-        tail = dict(zip(marks, self._encode(marks), strict=True))
-        for w, (core, m) in parts.items():
-            known[w] = known[core] + tail[m]
-        if len(self.first) > CACHE // 8:
-            self.first = {}
-        new = list(heads.difference(self.first))
-        self.first.update(zip(new, self._encode(new), strict=True))
-
-    def blocks(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Ids of words as they stand in the table, by the library."""
+        inner = [k for k, w in enumerate(words) if w[0] not in "\r\n"]
+        heads = [k for k, w in enumerate(words) if w[0] in "\r\n"]
+        out: list = [b""] * len(words)
+        for k, ids in zip(inner, self._spaced([words[k] for k in inner]), strict=True):
+            out[k] = ids
+        for k, ids in zip(heads, self._encode([words[k][1:] for k in heads]), strict=True):
+            out[k] = self.line + ids if words[k][0] == "\n" else ids
+        return out
+
+    def _learn(self, words: list[str]) -> list[list[bytes]]:
+        parts = []  # core, marks
+        for w in words:
+            core = w.rstrip(MARKS)
+            parts.append((core, w[len(core) :]) if len(core) != len(w) and core and core[-1] in LETTERS else (w, ""))
+        cores, marks = ([*{p[k] for p in parts}] for k in (0, 1))
+        head, tail = (dict(zip(some, ids, strict=True)) for some, ids in ((cores, self._whole(cores)), (marks, self._encode(marks))))
+        return [[head[c] + tail[m] for c, m in parts]]
+
+    def blocks(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as bytes of self.kind."""
-        at = 0
-        while at < len(texts):
-            cut, chars, seen, heads = [], 0, set(), set()
-            while at < len(texts) and (not cut or chars < BLOCK_CHARS):
-                text = texts[at] or ""
-                chars += len(text)
-                at += 1
-                words = text.split()
-                gaps = max(0, len(words) - 1)
-                if sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps or any(a in text for a in self.added):
-                    cut.append(text)
-                    continue
-                seen.update(words)
-                lines = [x.split(" ") for x in text.split("\n")] if text else []
-                heads.update([x[0] for x in lines])
-                cut.append(lines)
-            self._learn(seen, heads)
-            after, first = self.spaced.__getitem__, self.first
-            for lines in cut:
-                if isinstance(lines, str):
-                    yield self._encode([lines])[0]
-                else:
-                    yield self.line.join([first[x[0]] + b"".join(map(after, x[1:])) for x in lines])
+        for block in in_blocks(texts.fill_null(""), BLOCK_BYTES):
+            odd = oddly_spaced(block)
+            for a in self.added:
+                odd |= pc.match_substring(block, a).to_numpy(zero_copy_only=False)
+            out = [b""] * len(block)
+            for k in np.flatnonzero(odd).tolist():
+                out[k] = self._encode([block[k].as_py()])[0]
+            even = np.flatnonzero(~odd & (pc.binary_length(block).to_numpy() > 0))
+            if len(even):
+                marked = pc.binary_join_element_wise("", pc.replace_substring(block.take(pa.array(even)), "\n", " \n"), "\r")
+                for k, ids in zip(even.tolist(), self.table.joined(marked, self._learn)[0], strict=True):
+                    out[k] = ids
+            yield from out
 
 
 def encoder(path: str) -> Encoder:
@@ -198,7 +194,7 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int, sequence: int = SEQ
                 sink = [fs.open_output_stream(f"{n}.{attempt}") for n in names]
                 out, docs_out = SequenceWriter(sink[0], own.kind, sequence, sequences), pa.ipc.new_file(sink[1], kind)
             starts, sizes = [], []
-            for ids in own.blocks(batch.column(1).to_pylist()):
+            for ids in own.blocks(batch.column(1)):
                 out.add(ids + end)
                 starts.append(at)
                 sizes.append(len(ids) // len(end) + 1)
