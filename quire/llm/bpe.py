@@ -5,7 +5,7 @@ the prefix (longest first, from an automaton over all tokens) by testing whether
 of the shorter prefix. Following the stored tokens backwards from the end of the word gives the ids. The work is linear in the
 word, needs no queue of merges, and here runs over thousands of different words at once, as numpy columns.
 
-Texts are cut at white space; each different piece of a block of texts is encoded once and kept in a cache of bounded size. A text
+Texts are cut at white space; each different word of a block of texts is encoded once and kept in a table of bounded size. A text
 that isn't in normal form C, or has code points that this Python's character tables don't know, is normalised and cut by the file's
 own normaliser and pre-tokenizer instead, whose tables are of another version; its pieces are encoded like all others.
 
@@ -23,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import held
+from quire.llm.words import WordTable, in_blocks, oddly_spaced
 
 END = "</w>"
 #: Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE = 80_000  # words of each of the cache's two generations
-BLOCK_CHARS = 500_000  # texts are handled in blocks of about this size
+CACHE = 1_000_000  # words that a worker remembers, some 60 bytes each
+PIECES = 50_000  # pieces of words that it remembers apart
+BLOCK_BYTES = 4_000_000  # of the texts that are encoded together
 CELLS = 400_000  # words times longest word that one pass handles
 
 
@@ -84,7 +87,7 @@ class IntMap:
 class Codec:
     """Encodes and decodes as the tokenizer file says. The file: byte-level BPE with a word end, ids in order of merging."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -113,11 +116,10 @@ class Codec:
             raise ValueError("ids aren't in order of merging")
         self.pairs = IntMap(pairs, made)
         self._automaton({i: symbols(t) for t, i in vocab.items()}, n)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.table = WordTable(2, cache)
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.decimals = {i: b"%d " % i for i in self.tokens}
-        self.spaced = {i: f"{t} " for i, t in self.tokens.items()}
+        self.spaced = {i: f"{t} ".encode() for i, t in self.tokens.items()}
 
     def _automaton(self, spelled: dict[int, list[int]], n: int) -> None:
         edges: dict[int, int] = {}
@@ -218,13 +220,14 @@ class Codec:
             left, step = left[at[left] > 0], step + 1
         return [row[k - 1 :: -1] for row, k in zip(back[:, :step].tolist(), n.tolist(), strict=True)]
 
-    def _pieces(self, text: str) -> list[str]:
-        """Strings whose encodings, one after the other, are the text's: free of white space, but for a leading space before an added token and a leading tab before a whole piece."""
+    def _spaced_words(self, text: str) -> str:
+        """Words with single spaces between them whose encodings, one after the other, are the text's; a carriage return marks an added token, a tab a whole piece."""
         if self.added_cut and any(a in text for a in self.added):
-            return [w for k, part in enumerate(self.added_cut.split(text)) for w in ([" " + part] if k % 2 else self._plain(part))]
+            parts = self.added_cut.split(text)
+            return " ".join([w for k, part in enumerate(parts) if (w := "\r" + part if k % 2 else self._plain(part))])
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text) or self._has_unassigned(text):
                 return self._cut_by_library(text)
@@ -232,8 +235,8 @@ class Codec:
         else:
             text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
-            return regex.findall(r"(?:[^\s]|[\x1c-\x1f])+", text)
-        return text.split()
+            return " ".join(regex.findall(r"(?:[^\s]|[\x1c-\x1f])+", text))
+        return " ".join(text.split())
 
     def _has_unassigned(self, text: str) -> bool:
         """Whether some code point is without a category in unicodedata. Of texts in normal form, the tokenizer may cut only these otherwise."""
@@ -243,90 +246,86 @@ class Codec:
             self.assigned.add(c)
         return False
 
-    def _cut_by_library(self, text: str) -> list[str]:
+    def _cut_by_library(self, text: str) -> str:
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return ["\t" + bytes(map(self.letters.__getitem__, piece)).decode() for piece, _ in found]
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet, all at once."""
-        words.difference_update(self.words)
-        for w in [w for w in words if w in self.older]:
-            self.words[w] = self.older[w]
-            words.discard(w)
-        own = self.pieces
-        if len(own) > CACHE:
-            own.clear()
-        parts = {w: (w,) if w.isalpha() or w[0] == " " else (w[1:],) if w[0] == "\t" else PIECE.findall(w) for w in words}
-        for w in words:
-            if w[0] == " ":
-                own[w] = self._spelled([self.added[w[1:]]])
-        todo = list({p for ps in parts.values() for p in ps}.difference(own))
+        return " ".join(["\t" + bytes(map(self.letters.__getitem__, piece)).decode() for piece, _ in found])
+
+    def _learn(self, words: list[str]) -> list[list[bytes]]:
+        """Decimal ids and tokens of words, a space after each; all new pieces are encoded at once."""
+        parts = [(w,) if w.isalpha() else (w[1:],) if w[0] in "\r\t" else PIECE.findall(w) for w in words]
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
+        own = dict(self.pieces)
+        todo = list({p for ps in parts for p in ps}.difference(own))
+        decimal, spaced = self.decimals.__getitem__, self.spaced.__getitem__
         for p, ids in zip(todo, self.encode_words([p.encode() for p in todo]) if todo else [], strict=True):
-            own[p] = self._spelled(ids)
-        for w, ps in parts.items():
-            if len(ps) == 1:
-                self.words[w] = own[ps[0]]
+            own[p] = b"".join(map(decimal, ids)), b"".join(map(spaced, ids))
+        self.pieces.update((p, own[p]) for ps in parts if len(ps) > 1 for p in ps)
+        out: list[list[bytes]] = [[], []]
+        for w, ps in zip(words, parts, strict=True):
+            if w[0] == "\r":
+                i = self.added[w[1:]]
+                got = [(self.decimals[i], self.spaced[i])]
             else:
                 got = [own[p] for p in ps]
-                self.words[w] = (b"".join([x[0] for x in got]), "".join([x[1] for x in got]))
-
-    def _spelled(self, ids: list[int]) -> tuple[bytes, str]:
-        return b"".join([self.decimals[i] for i in ids]), "".join([self.spaced[i] for i in ids])
+            for k in (0, 1):
+                out[k].append(got[0][k] if len(got) == 1 else b"".join([g[k] for g in got]))
+        return out
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """For each text its ids (decimal, joined by one space) and the decoded text."""
-        at = 0
-        while at < len(texts):
-            cut, chars, seen = [], 0, set()
-            while at < len(texts) and (not cut or chars < BLOCK_CHARS):
-                cut.append(self._pieces(texts[at] or ""))
-                seen.update(cut[-1])
-                chars += len(texts[at] or "")
-                at += 1
-            if len(self.words) > CACHE:
-                self.older, self.words = self.words, {}
-            self._learn(seen)
-            get = self.words.__getitem__
-            for words in cut:
-                got = list(map(get, words))
-                yield b"".join([x[0] for x in got])[:-1], "".join([x[1] for x in got])[:-1]
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """For each text its ids (decimal, joined by one space) and the decoded text in UTF-8."""
+        for block in in_blocks(texts.fill_null(""), BLOCK_BYTES):
+            odd = oddly_spaced(block)
+            for a in self.added:
+                odd |= pc.match_substring(block, a).to_numpy(zero_copy_only=False)
+            odd |= ~pc.string_is_ascii(block).to_numpy(zero_copy_only=False)
+            flat = pc.ascii_lower(pc.replace_substring(block, "\n", " "))
+            if odd.any():
+                own = pa.array([self._spaced_words(block[k].as_py()) for k in np.flatnonzero(odd).tolist()], block.type)
+                flat = pc.replace_with_mask(flat, pa.array(odd), own)
+            full = np.flatnonzero(pc.binary_length(flat).to_numpy() > 0)
+            out = [(b"", b"")] * len(block)
+            if len(full):
+                for k, ids, decoded in zip(full.tolist(), *self.table.joined(flat.take(pa.array(full)), self._learn), strict=True):
+                    out[k] = ids[:-1], decoded[:-1]
+            yield from out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in next(self.blocks([text]))[0].split()]
+        return [int(x) for x in next(self.blocks(pa.array([text], pa.string())))[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, cache: int = CACHE) -> Codec:
     """This worker's codec of the file."""
-    return held(("bpe", path), lambda: Codec(path))
+    return held(("bpe", path, cache), lambda: Codec(path, cache))
 
 
-def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens and of these the outputs: ids, decoded (the decoded text), ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the text in UTF-8)."""
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    def column(name: str, got: list[tuple[bytes, str]]) -> pa.Array:
+    def column(name: str, got: list[tuple[bytes, bytes]]) -> pa.Array:
         if name == "ids":
             ids = [np.array(a.split(), np.int32) for a, _ in got]
             return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *ids]))
         if name == "decoded":
-            return pa.array([b for _, b in got], pa.string())
-        return pa.array([hashlib.sha256(a if name == "ids_sha256" else b.encode()).hexdigest() for a, b in got], pa.string())
+            return pa.array([b.decode() for _, b in got], pa.string())
+        return pa.array([hashlib.sha256(a if name == "ids_sha256" else b).hexdigest() for a, b in got], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, cache)
         for whole in batches:
+            got = list(own.blocks(whole.column(1)))
             for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                got = list(own.blocks(batch.column(1).to_pylist()))
-                n = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in got], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, *(column(c, got) for c in outputs)], names=["doc_id", "n_tokens", *outputs])
+                some = got[at : at + 500]
+                n = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in some], pa.int64())
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, 500), n, *(column(c, some) for c in outputs)], names=["doc_id", "n_tokens", *outputs])
 
     schema = ", ".join(["doc_id bigint", "n_tokens bigint", *(f"{c} {kinds[c]}" for c in outputs)])
     return docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)
