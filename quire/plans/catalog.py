@@ -343,7 +343,7 @@ def page_top_nodes(spark, d):
     return nodes.select("doc_id", "node_idx", "node_type", "tag")
 
 
-@query("SELECT page_id AS doc_id, 1::INTEGER AS level, len(regexp_extract_all(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<h1'))::BIGINT AS n FROM pages")
+@query("SELECT page_id AS doc_id, 1::INTEGER AS level, len(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), '<h1'))::BIGINT AS n FROM pages")
 def page_heading_counts(spark, d):
     nodes = parse_nodes(page_articles(load(spark, d, "pages")), with_html=False)
     return aggregates.heading_counts(split.node_levels(nodes))

@@ -36,8 +36,8 @@ def block_nodes(blocks: DataFrame) -> DataFrame:
 
 
 def page_articles(pages: DataFrame) -> DataFrame:
-    """doc_id, fragment: the inside of each page's article element, or the whole page."""
-    inside = F.regexp_extract("html", "(?s)<article[^>]*>(.*?)</article>", 1)
+    """doc_id, fragment: the insides of each page's article elements, one after the other, or the whole page where there is none."""
+    inside = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<article[^>]*>(.*?)</article>"), F.lit(1)), "")
     return pages.select(F.col("page_id").alias("doc_id"), F.when(inside != "", inside).otherwise(F.col("html")).alias("fragment"))
 
 

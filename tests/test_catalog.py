@@ -22,6 +22,14 @@ def test_page_split_keeps_all_html(spark):
     assert len(rows) == 50 and all(r.number == 1 and r.html.startswith("<h1>") and r.title for r in rows)
 
 
+def test_all_articles_of_a_page_count(spark):
+    from quire.sources.adapters import page_articles
+
+    made = [(1, "<p>x</p><article class=a><h1>A</h1></article>y<article>\n<h1>B</h1></article>"), (2, "<p>none</p>"), (3, None)]
+    got = page_articles(spark.createDataFrame(made, "page_id int, html string")).collect()
+    assert [tuple(r) for r in got] == [(1, "<h1>A</h1>\n<h1>B</h1>"), (2, "<p>none</p>"), (3, None)]
+
+
 def test_plans_push_down_and_shuffle_once(spark):
     from conftest import DATA
     from quire.operators.split import split_blocks
