@@ -8,8 +8,8 @@ A row counts as linked if the sets' intersection is at least 80 % of their union
 
 Within a cluster only rows that aren't yet connected with the first, most typical one are compared with all others: every link
 that could still join two components is examined, and links inside a component change nothing. A cluster above the block size
-does the same in Spark: hubs are compared with all its rows, one row at a time, and only rows that no hub connects with the
-largest component are dealt out against all others. So a group of near copies of any size costs a few passes over it.
+does the same in Spark: a few of its rows, hubs, are compared with all others in parts, and only rows outside the largest
+component that this makes are dealt out against all rows. So a group of near copies of any size costs a few passes over it.
 
 Edge cases: null and empty texts and texts without words have an empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; texts of any length are used whole. Repeated rows belong to one class; a
@@ -35,7 +35,7 @@ PERCENT = 80
 BANDS = 36
 ROWS = 7  # values of a band
 SLACK = 0.55  # estimated similarity of a band's mates
-BLOCK = 4_000_000  # bytes of text of a block
+BLOCK = 1_000_000  # bytes of text of a block
 HUBS = 3  # rows of a cluster above a block that are compared with all others first
 WORDS = 150_000  # words whose hash a worker remembers
 SEED = 7
@@ -222,57 +222,58 @@ def _solved(width: int, percent: int):
 
 
 def _shingled(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """Shingles as tuples of words."""
     words = tokens(text)
     return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
 
 
-def _hub_links(rows: DataFrame, hubs: DataFrame, width: int, percent: int) -> DataFrame:
-    """root, hub, node of the rows (root, node, text) that are linked with their cluster's hub (root, hub, hub_text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        last, own = None, set()
-        for batch in batches:
-            hit = []
-            for node, text, hub, hub_text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                if hub != last:
-                    last, own = hub, _shingled(hub_text, width)
-                other = _shingled(text, width)
+def _with_hubs(width: int, percent: int):
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
+        """Links between the group's hubs and its other rows."""
+        is_hub = table.column("is_hub").to_numpy()
+        nodes, root = table.column("node").to_numpy(), table.column("root")[0].as_py()
+        hubs = [(int(nodes[k]), _shingled(table.column("text")[int(k)].as_py(), width)) for k in np.flatnonzero(is_hub)]
+        ends: list[tuple[int, int]] = []
+        for k in np.flatnonzero(~is_hub):
+            node, own = int(nodes[k]), _shingled(table.column("text")[int(k)].as_py(), width)
+            for hub, other in hubs:
                 both = len(own & other)
-                hit.append(node != hub and 100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1)], names=["root", "hub", "node"]).filter(pa.array(hit, pa.bool_()))
+                if node != hub and 100 * both >= percent * (len(own) + len(other) - both):
+                    ends.append((hub, node))
+        if not ends:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([root] * len(ends), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*ends, strict=True))], names=["root", "a", "b"])
 
-    return rows.join(hubs, "root").select("root", "node", "text", "hub", "hub_text").mapInArrow(run, "root long, hub long, node long")
+    return solve
 
 
 def _large_clusters(rows: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) that make the components of clusters (root, node, text, weight) above a block."""
-    edges, with_hub = None, None  # with_hub: (root, node) of the rows known to be in the first hub's component
-    for k in range(HUBS):
-        left = rows if with_hub is None else rows.join(with_hub, ["root", "node"], "left_anti")
-        hubs = left.groupBy("root").agg(F.min_by(F.struct("node", "text"), F.xxhash64("node", F.lit(k))).alias("one"))
-        hubs = written(hubs.select("root", F.col("one.node").alias("hub"), F.col("one.text").alias("hub_text")), "minhash-hubs")  # joined as a table, a cluster with many rows can be split
-        found = written(_hub_links(rows, hubs, width, percent), "minhash-hub-links")
-        edges = found if edges is None else edges.unionByName(found)
-        star = found.select("root", "node").unionByName(hubs.select("root", F.col("hub").alias("node")))
-        if with_hub is not None:  # another hub's rows count where one of them is among those of the first
-            met = written(star.join(with_hub, ["root", "node"], "left_semi").select("root").distinct(), "minhash-met")
-            star = with_hub.unionByName(star.join(small(met), "root", "left_semi")).distinct()
-        with_hub = written(star, "minhash-with-hub")
-    rest = rows.join(with_hub.withColumn("known", F.lit(True)), ["root", "node"], "left").withColumn("open", F.col("known").isNull()).drop("known")
-    dealt = open_pairs(rest, block).select("root", "i", "j", "node", "text")
+    """Edges (a, b) that make the components of clusters (root, node, text, weight, blocks) above a block."""
+    picked = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HUBS))))
+    picked = written(rows.groupBy("root").agg(picked.alias("hubs")).select("root", F.explode("hubs").alias("node")), "minhash-hubs")
+    hubs = rows.join(small(picked), ["root", "node"], "left_semi").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "is_hub": F.lit(True)})
+    asked = rows.withColumns({"part": F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"), "is_hub": F.lit(False)})
+    columns = ["root", "part", "is_hub", "node", "text"]
+    found = written(by_group(hubs.select(columns).unionByName(asked.select(columns)), ["root", "part"], _with_hubs(width, percent), "root long, a long, b long"), "minhash-hub-links")
+    # the largest component that the hubs make of a cluster
+    names = components(found).withColumnRenamed("root", "name")
+    ends = written(found.select("root", F.col("a").alias("node")).unionByName(found.select("root", F.col("b").alias("node"))).distinct().join(names, "node"), "minhash-hub-ends")
+    most = ends.groupBy("root", "name").count().groupBy("root").agg(F.max_by("name", F.struct("count", "name")).alias("name"))
+    known = ends.join(most, ["root", "name"], "left_semi").select("node", F.lit(True).alias("known"))
+    rest = rows.join(known, "node", "left").withColumn("open", F.col("known").isNull())
+    dealt = open_pairs(written(rest.select("root", "node", "text", "weight", "open"), "minhash-open"), block).select("root", "i", "j", "node", "text")
     more = by_group(dealt, ["root", "i", "j"], _solved(width, percent), "a long, b long")
-    return edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(more)
+    return found.select("a", "b").unionByName(more)
 
 
 def _linked(fetched: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """(node, root) of components: fetched (root, node, text, weight) are whole texts in coarse clusters."""
     size = fetched.groupBy("root").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter("n > 1")
-    size = written(size.select("root", (F.col("w") > block).alias("large")), "minhash-sizes")
+    size = written(size.select("root", F.ceil(F.col("w") / block).cast("int").alias("blocks")), "minhash-sizes")
     sized = fetched.join(small(size), "root")
-    edges = by_group(sized.filter(~F.col("large")).select("root", "node", "text"), ["root"], _solved(width, percent), "a long, b long")
-    if not size.filter("large").isEmpty():
-        edges = edges.unionByName(_large_clusters(written(sized.filter("large").drop("large"), "minhash-large"), width, percent, block))
+    edges = by_group(sized.filter("blocks <= 1").select("root", "node", "text"), ["root"], _solved(width, percent), "a long, b long")
+    if not size.filter("blocks > 1").isEmpty():
+        edges = edges.unionByName(_large_clusters(written(sized.filter("blocks > 1"), "minhash-large"), width, percent, block))
     return components(edges)
 
 
@@ -299,5 +300,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: in
 def kept_documents(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     """docs with one document of each component. Rows that repeat the one that stays, id and text, stay with it."""
     gone = written(dedup(docs, width, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct(), "minhash-gone")
-    h = F.xxhash64("text")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("gone")) & (h == F.col("gone_th")), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_th"))
+    return rows.join(small(gone), F.col("own").eqNullSafe(F.col("gone")) & (F.col("own_th") == F.col("gone_th")), "left_anti").select("doc.*")
