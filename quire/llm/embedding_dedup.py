@@ -37,11 +37,13 @@ SEED = 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two."""
-    n, h = x.shape[1], 1
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+    """Fast Walsh-Hadamard transform of the columns, whose length is a power of two, in place."""
+    h = 1
+    while h < len(x):
+        y = x.reshape(len(x) // (2 * h), 2, h, -1)
+        low = y[:, 0] - y[:, 1]
+        y[:, 0] += y[:, 1]
+        y[:, 1] = low
         h *= 2
     return x
 
@@ -50,11 +52,11 @@ def buckets(unit: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS,
     """Codes of each row: tables x (1 + probes); the first of a table is the row's own."""
     n, d = unit.shape
     wide = 1 << max(1, (d - 1).bit_length())
-    padded = np.zeros((n, wide))
-    padded[:, :d] = unit
+    padded = np.zeros((wide, n))
+    padded[:d] = unit.T
     rng = np.random.default_rng(seed)
     out = np.empty((n, tables, 1 + probes), np.int64)
-    depth = min(3, wide)
+    rows, depth = np.arange(n), min(3, wide)
     # for each hash the nearest axes; a probe changes some of the hashes to a farther axis, the cheapest changes first
     moves = np.array(np.meshgrid(*[np.arange(depth)] * rotations, indexing="ij")).reshape(rotations, -1).T
     for t in range(tables):
@@ -62,11 +64,15 @@ def buckets(unit: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS,
         for _ in range(rotations):
             x = padded
             for _ in range(3):
-                x = hadamard(x * rng.choice([-1.0, 1.0], wide)) / np.sqrt(wide)
-            top = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :depth]
-            value = np.take_along_axis(x, top, 1)
-            axes.append(top * 2 + (value < 0))
-            loss.append((np.abs(value[:, :1]) - np.abs(value)) ** 2)
+                x = hadamard(x * rng.choice([-1.0, 1.0], wide)[:, None]) / np.sqrt(wide)
+            left = np.abs(x).T.copy()
+            top, size = np.empty((n, depth), np.int64), np.empty((n, depth))
+            for k in range(depth):
+                top[:, k] = left.argmax(axis=1)
+                size[:, k] = left[rows, top[:, k]]
+                left[rows, top[:, k]] = -1
+            axes.append(top * 2 + (x[top, rows[:, None]] < 0))
+            loss.append((size[:, :1] - size) ** 2)
         total = sum(loss[r][:, moves[:, r]] for r in range(rotations))
         best = np.argsort(total, axis=1, kind="stable")[:, : 1 + probes]
         code = np.zeros((n, 1 + probes), np.int64)
@@ -76,13 +82,19 @@ def buckets(unit: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS,
     return out
 
 
-def _unit(column: pa.ListArray) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None for those that link with nothing."""
-    out: list = []
-    for v in column.to_pylist():
-        x = np.array([np.nan if c is None else c for c in v], np.float64) if v else None
-        ok = x is not None and np.isfinite(x).all() and (norm := np.sqrt(x @ x)) > 0
-        out.append(x / norm if ok else None)
+def _unit(column: pa.ListArray) -> list[tuple[bytes, bytes] | None]:
+    """Each vector's own components and its unit vector, as doubles; None for those that link with nothing."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()  # null components are NaN
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    out: list = [None] * len(sizes)
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        x = flat[ends[at][:, None] + np.arange(size)].astype(np.float64) + 0.0  # no negative zero
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            unit = x / norm[:, None]
+        for j in np.flatnonzero(np.isfinite(x).all(axis=1) & (norm > 0)):
+            out[at[j]] = x[j].tobytes(), unit[j].tobytes()
     return out
 
 
@@ -91,22 +103,20 @@ def _classes(vectors: DataFrame, node_bits: int = 64) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
             nodes, checks, units = [], [], []
-            for v, label, own, raw in zip(_unit(batch.column(1)), labels, ids, batch.column(1).to_pylist(), strict=True):
+            for v, label, own in zip(_unit(batch.column(1)), batch.column(2).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 if v is None or label is None or own is None:
                     nodes.append(None)
                     checks.append(None)
                     units.append(None)
                 else:
-                    exact = (np.array(raw, np.float64) + 0.0).tobytes()
-                    digest = hashlib.blake2b(f"{label}|".encode() + exact, digest_size=16).digest()
+                    digest = hashlib.blake2b(f"{label}|".encode() + v[0], digest_size=16).digest()
                     nodes.append(int.from_bytes(digest[:8], "little", signed=True) >> 64 - node_bits)
                     checks.append(int.from_bytes(digest[8:], "little", signed=True))
-                    units.append(v.tobytes())
+                    units.append(v[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), batch.column(2), pa.array(units, pa.binary())], names=["vec_id", "node", "check", "label", "unit"])
 
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     return given.mapInArrow(run, "vec_id long, node long, check long, label string, unit binary")
 
 
