@@ -35,8 +35,8 @@ SEQUENCE = 2048
 SEQUENCES = 256  # of a record batch
 FILE_BYTES = 4 << 20, 128 << 20  # text of a file: at least where there is that much, at most but for one longer document
 FILES_A_CORE = 8  # between those bounds
-CACHE = 1_500_000  # words that a worker remembers, some 40 bytes each
-BLOCK_BYTES = 8_000_000  # of the texts that are encoded together
+CACHE = 1_000_000  # words that a worker remembers, some 40 bytes each
+BLOCK_BYTES = 4_000_000  # of the texts that are encoded together
 
 
 #: Letters after which marks surely begin a piece of the pre-tokenizer, and marks that are one piece up to white space.

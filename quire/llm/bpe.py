@@ -20,6 +20,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from quire.llm.words import WordTable, in_blocks, oddly_spaced
 END = "</w>"
 #: Fixed value: the pattern of the tokenizer file's pre-tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE = 1_000_000  # words that a worker remembers, some 60 bytes each
-PIECES = 50_000  # pieces of words that it remembers apart
-BLOCK_BYTES = 4_000_000  # of the texts that are encoded together
+CACHE = 600_000  # words that a worker remembers, some 60 bytes each
+PIECES = 20_000  # pieces of words that it remembers apart
+BLOCK_BYTES = 2_000_000  # of the texts that are encoded together
 CELLS = 400_000  # words times longest word that one pass handles
 
 
@@ -87,7 +88,8 @@ class IntMap:
 class Codec:
     """Encodes and decodes as the tokenizer file says. The file: byte-level BPE with a word end, ids in order of merging."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, block: int = BLOCK_BYTES):
+        self.block = block
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -278,7 +280,7 @@ class Codec:
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids (decimal, joined by one space) and the decoded text in UTF-8."""
-        for block in in_blocks(texts.fill_null(""), BLOCK_BYTES):
+        for block in in_blocks(texts.fill_null(""), self.block):
             odd = oddly_spaced(block)
             for a in self.added:
                 odd |= pc.match_substring(block, a).to_numpy(zero_copy_only=False)
@@ -301,12 +303,12 @@ class Codec:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def codec(path: str, cache: int = CACHE) -> Codec:
+def codec(path: str, cache: int = CACHE, block: int = BLOCK_BYTES) -> Codec:
     """This worker's codec of the file."""
-    return held(("bpe", path, cache), lambda: Codec(path, cache))
+    return held(("bpe", path, cache, block), lambda: Codec(path, cache, block))
 
 
-def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text", cache: int = CACHE) -> DataFrame:
+def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256"), text_col: str = "text", cache: int = CACHE, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens and of these the outputs: ids, decoded (the decoded text), ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the text in UTF-8)."""
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -319,11 +321,11 @@ def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids_sha256"
         return pa.array([hashlib.sha256(a if name == "ids_sha256" else b).hexdigest() for a, b in got], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, cache)
+        own = codec(path, cache, block)
         for whole in batches:
-            got = list(own.blocks(whole.column(1)))
+            got = own.blocks(whole.column(1))
             for at in range(0, whole.num_rows, 500):
-                some = got[at : at + 500]
+                some = list(islice(got, 500))
                 n = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in some], pa.int64())
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, 500), n, *(column(c, some) for c in outputs)], names=["doc_id", "n_tokens", *outputs])
 

@@ -10,13 +10,12 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three short columns that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Bytes of texts that may be.
-BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,12 +60,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-def small_bytes(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The same by the bytes of its one long column (a written table)."""
-    n, rows = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)), F.count("*")).first()
-    return F.broadcast(df) if n <= limit and rows <= BROADCAST_ROWS else df.hint("merge")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,15 +77,21 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in _held:
         release()
         _held[key] = make()
+        _trim()
     return _held[key]
 
 
 def release() -> None:
     """Gives back what another operator left in this worker."""
-    if _held:
-        _held.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not this C library
-            pass
+    _held.clear()
+    _trim()
+
+
+def _trim() -> None:
+    """Returns freed memory to the machine: Python's, Arrow's and the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

@@ -68,4 +68,6 @@ class WordTable:
             offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
             raw, cut = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"", offsets[ends].tolist()
             out.append([raw[lo:hi] for lo, hi in zip([0, *cut[:-1]], cut, strict=True)])
+            del taken, raw
+        pa.default_memory_pool().release_unused()
         return out
