@@ -1,6 +1,8 @@
 """A corpus pipeline of five operators: each stage's rows are written as Parquet and reread as the next stage's documents.
 
-run(spark, sf_dir) gives the encoded mix. Rows alike in all columns pass the stages as rows; empty tables pass as empty tables.
+run(spark, sf_dir) gives the encoded mix. A null text counts as empty, a null doc_id comes after all others, a null source is a
+source of its own. Of rows alike in text, repeated rows among them, exact dedup keeps one. Empty tables pass as empty tables;
+columns beside those of documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document of the mix."""
-    return bpe.encoded(docs, tokenizer_file("word_bpe_49k.json"), ("ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encoded(docs, tokenizer_file("word_bpe_49k.json"), ("ids", "ids_sha256", "decoded_sha256"), cache=CACHE, block=BLOCK)
 
 
+CACHE, BLOCK = 150_000, 1_000_000  # words and bytes: an executor's heap has grown by the last stage, so its Python workers get less
+
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("bpe", encode)]
 
 #: SQL can't express the classifier or the encoder; the stages are tested against brute force.
