@@ -2,7 +2,8 @@
 
 The training data are confirmed toxic texts (P) and unlabelled ones (U), a bounded sample of each. U holds toxic texts, too, in
 the share of the class prior; the risk estimator corrects for them and keeps the estimated risk on negatives from falling
-below nothing: risk = prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)). Loss: logistic, so scores are probabilities.
+below nothing: risk = prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)). Loss: logistic, so scores are probabilities. The prior
+is the share of toxic ones among the training folds' labels, so labels should be a fair sample of the documents.
 
 Features: whether a text has a word, or a word that begins with certain 4 or 5 characters. Those are chosen whose share of P
 is well above their share of U, which the sample's counts in Spark tell. Every whole text is then scored where it lies, with
