@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import arrow_tokens, bpe, embedding_dedup, exact_dedup, html_main, minhash_dedup, mixing, sharding, toxicity, url_filter
 from quire.llm.common import table
